@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from laconic.llm.common import table
 from laconic.llm.decontaminate import contamination
+from laconic.llm.jaccard import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,3 +24,9 @@ def query(f):
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, n=4, percent=85)
