@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laconic.llm.common import table
+from laconic.llm import chat, langid, licenses, line_dedup, mixing, sharding
+from laconic.llm.common import remainder, table
 from laconic.llm.decontaminate import contamination
+from laconic.llm.fingerprints import fingerprints
 from laconic.llm.jaccard import near_duplicates
+from laconic.llm.toxicity import fit, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +33,85 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, n=4, percent=85)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    scored = toxicity(docs, fit(docs, learn))
+    return scored.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_passages")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(remainder("doc_id", 3) != 1))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.planned(docs)
+    at = mixing.position(F.col("_number") % len(mixing.SCHEDULES), mixing.share_done(F.lit(0)))
+    rows = rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.round(F.when(F.col("_taken") > 0, at), 6).alias("position"))
+    return rows.orderBy("position", "doc_id")
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+@query
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotations(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op7_chat_rotation"] = """
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+r AS (SELECT m.conv_id, perspective, turn, speaker, body,
+        '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
+      FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
+s AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS segment, CAST(speaker = perspective AS INTEGER) AS loss FROM r),
+o AS (SELECT *, CAST(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body ROWS UNBOUNDED PRECEDING) AS BIGINT) AS char_end FROM s)
+SELECT conv_id, perspective, turn, speaker, segment, loss, char_end - length(segment) AS char_start, char_end,
+  CASE WHEN loss = 1 THEN char_end - length(segment) + length(head) END AS loss_start, CASE WHEN loss = 1 THEN char_end - 1 END AS loss_end FROM o
+"""
+
+ORACLE["op2_mixing"] = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, CAST(number % 3 + 1 AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 3 AS lim FROM s),
+l AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM s) - coalesce(sum(lim) OVER (ORDER BY lim / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY lim / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, number, source_size, least(lim, (SELECT max(level) FROM l) * weight) AS target FROM l),
+o AS (SELECT d.*, t.number, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS quota,
+        CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS off
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS passes FROM o),
+k AS (SELECT *, CAST(passes * size + greatest(0, least(size, quota - passes * source_size - off)) AS BIGINT) AS taken, CASE WHEN target > 0 THEN off / target ELSE 0 END AS y FROM f)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
+  round(CASE WHEN taken > 0 THEN CASE number % 3
+    WHEN 0 THEN least((sqrt(greatest(0, 2.25 - 2 * y)) - 1.5) / -1.0, 1)
+    WHEN 1 THEN least(y, 1)
+    ELSE CASE WHEN y < 0.375 THEN least(sqrt(0.25 + 2 * y) - 0.5, 0.5) ELSE least(0.5 + sqrt(1 + 2 * (y - 0.375)) - 1, 1) END END END, 6) AS position
+FROM k
+"""
