@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = 3
-WRAP = 12
+WRAP = 40
 #: Each known sentence holds one of these, after lower-casing.
 NECESSARY = r"licen[sc]e|copyright|permission|redistribut|warrant|liab|public domain|spdx|provided"
 

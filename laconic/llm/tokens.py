@@ -82,9 +82,11 @@ class Words:
         self.start, self.end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         self.doc_start = np.searchsorted(self.start, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word (FNV-1a, mixed)."""
+    def hashes(self, front: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first `front` bytes (FNV-1a, mixed)."""
         length = self.end - self.start
+        if front is not None:
+            length = np.minimum(length, front)
         h = np.full(len(length), FNV_START, U64)
         live = np.arange(len(length))
         for k in range(LONG):
@@ -92,7 +94,7 @@ class Words:
                 break
             h[live] = (h[live] ^ self.low[self.start[live] + k]) * FNV_PRIME
             live = live[length[live] > k + 1]
-        for i in live:
+        for i in live if front is None else ():
             h[i] ^= U64(xxhash.xxh3_64_intdigest(self.low[self.start[i] + LONG : self.end[i]].tobytes()))
         return mix(h)
 

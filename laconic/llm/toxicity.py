@@ -2,10 +2,10 @@
 
 Learning (a bounded, documented sample of `SAMPLE` labelled rows):
 
-* words are hashed into 2**BITS buckets; each bucket gets the log-odds of
-  toxic against clean, with an informative Dirichlet prior proportional to
-  the bucket's overall frequency, in units of its standard deviation's
-  shrinkage, less a drift that makes ordinary text score negative;
+* words, and their fronts of 4 and 6 bytes, are hashed into tables of
+  document counts; a word's log-odds of toxic against clean has a Dirichlet
+  prior around its front's, and a small drift is taken off, so ordinary
+  text scores negative;
 * the best segment of a clean text then follows an extreme-value law
   (Karlin-Altschul): its parameters are fitted on the out-of-fold best
   segments of clean rows, and a logistic curve on the resulting
@@ -35,27 +35,37 @@ from laconic.llm.tokens import ALNUM, U64, Words, buffers, pieces
 
 #: Most labelled rows that the model is fitted on (chosen by a hash of the id).
 SAMPLE = 20_000
-BITS = 18
-#: Weight of the Dirichlet prior, in words.
-PRIOR = 500.0
+#: Levels of a token, from general to special: bytes of its front (None: the whole word) and bits of its table.
+LEVELS = ((4, 16), (6, 17), (None, 18))
+#: Weight of the Dirichlet prior that a level passes to the next one, in documents.
+PRIOR = 10.0
+#: Log-odds up to this are taken for chance, and what every word costs.
+CHANCE, DRIFT = 1.5, 0.1
 #: A segment counts as significant at this E-value or less.
 E_VALUE = 0.01
 
+OFFSET = np.cumsum([0, *(1 << bits for _, bits in LEVELS)])
+SIZE = int(OFFSET[-1])
 
-def log_odds(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """Scores of the buckets from counts[label, bucket]: shrunk log-odds, less what makes clean text drift down."""
-    total = counts.sum(0)
-    background = (total + 0.01) / (total + 0.01).sum()
-    smooth = counts + prior * background
-    rate = smooth / smooth.sum(1, keepdims=True)
-    delta = np.log(rate[1] / (1 - rate[1])) - np.log(rate[0] / (1 - rate[0]))
-    deviation = np.sqrt(1 / smooth[0] + 1 / smooth[1])
-    # only what is beyond chance counts: soft threshold at two deviations
-    strong = np.sign(delta) * np.maximum(np.abs(delta) - 2 * deviation, 0)
-    strong[total == 0] = 0
-    clean = rate[0]
-    drift = max(0.02, 0.05 * np.sqrt((clean * strong**2).sum()))
-    return (np.clip(strong, -1.0, 6.0) - drift).astype(np.float32)
+
+def features(w: Words) -> np.ndarray:
+    """For each level, the table entry of each word."""
+    return np.stack([(w.hashes(front) >> U64(64 - bits)).astype(np.int64) + at for (front, bits), at in zip(LEVELS, OFFSET, strict=False)])
+
+
+def token_scores(entries: np.ndarray, counts: np.ndarray, base: float) -> np.ndarray:
+    """Log-odds of each word, less the drift.
+
+    counts[label, entry]: documents that hold it.  A word's share of toxic
+    documents has a Dirichlet (here: two-way) prior around the share of its
+    front, whose prior in turn is the shorter front's, and last the base
+    rate; so unknown forms of a known stem count, and rare words do not.
+    """
+    share = np.full(entries.shape[1], base)
+    for e in entries:
+        share = (counts[1, e] + PRIOR * share) / (counts[0, e] + counts[1, e] + PRIOR)
+    odds = np.log(share / (1 - share)) - np.log(base / (1 - base))
+    return np.clip(np.sign(odds) * np.maximum(np.abs(odds) - CHANCE, 0), -1.0, 6.0) - DRIFT
 
 
 def best_segments(scores: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
@@ -93,7 +103,8 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    weights: np.ndarray
+    counts: np.ndarray  # [label, entry]
+    base: float  # toxic share of all counts
     rate: float  # decay of the extreme-value law
     scale: float  # its constant: expected segments above 0 for each word
     slope: float
@@ -130,10 +141,6 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _buckets(w: Words) -> np.ndarray:
-    return (w.hashes() >> U64(64 - BITS)).astype(np.int64)
-
-
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, sample: int) -> DataFrame:
     """(text, y, fold) of at most about `sample` labelled rows; the label side is bounded, so it is broadcast."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
@@ -146,29 +153,39 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, sample:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on labelled rows; pass only the labels that may be learned from."""
     rows = _sample(docs.select(F.col(doc_id), F.col(text).alias("_text")), labels.select(doc_id, label), doc_id, label, sample)
-    size = 1 << BITS
 
     def count(batches):
-        counts = np.zeros((2, 2, size), np.int64)
+        counts = np.zeros((2, 2, SIZE), np.int64)
+        sizes = np.zeros((2, 2), np.int64)
         for batch in batches:
             y, fold = (np.array(batch.column(i).to_pylist(), np.int64) > 0 for i in (1, 2))
+            np.add.at(sizes, (fold.astype(int), y.astype(int)), 1)
             for first, last, d, o in pieces(*buffers(batch.column(0))):
                 w = Words(d, o, ALNUM)
-                each = np.diff(w.doc_start)
-                np.add.at(counts.reshape(-1), (np.repeat(fold[first:last] * 2 + y[first:last], each) * size + _buckets(w)), 1)
+                doc = np.repeat(np.arange(last - first), np.diff(w.doc_start))
+                kind = fold[first:last] * 2 + y[first:last]
+                for e in features(w):
+                    once = np.unique(doc * SIZE + e)
+                    np.add.at(counts.reshape(-1), kind[once // SIZE] * SIZE + once % SIZE, 1)
         for f in range(2):
             used = np.flatnonzero(counts[f].any(0))
             for at in range(0, len(used), 50_000):
                 u = used[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), f)), pa.array(u), pa.array(counts[f, 0, u]), pa.array(counts[f, 1, u])], names=["fold", "bucket", "clean", "toxic"])
-
-    table = rows.mapInArrow(count, "fold long, bucket long, clean long, toxic long").groupBy("fold", "bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = np.zeros((2, 2, size))
-    for r in table.collect():  # at most 2 * 2**BITS rows, whatever the corpus
-        counts[r.fold, 0, r.bucket], counts[r.fold, 1, r.bucket] = r.clean, r.toxic
-    if not counts.sum((0, 2)).all():
-        return Model(np.full(size, -1.0, np.float32), 1.0, 1.0, 0.0, -50.0)
-    held = docs.sparkSession.sparkContext.broadcast([log_odds(counts[1]), log_odds(counts[0])])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), f)), pa.array(u), pa.array(counts[f, 0, u]), pa.array(counts[f, 1, u])], names=["fold", "entry", "clean", "toxic"])
+            if sizes[f].any():
+                yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([-1]), pa.array(sizes[f, :1]), pa.array(sizes[f, 1:])], names=["fold", "entry", "clean", "toxic"])
+
+    table = rows.mapInArrow(count, "fold long, entry long, clean long, toxic long").groupBy("fold", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts, sizes = np.zeros((2, 2, SIZE), np.float32), np.zeros((2, 2))
+    for r in table.collect():  # at most 2 * (SIZE + 1) rows, whatever the corpus
+        if r.entry < 0:
+            sizes[r.fold] = r.clean, r.toxic
+        else:
+            counts[r.fold, :, r.entry] = r.clean, r.toxic
+    if not sizes.sum(0).all() or not counts[:, 1].any() or not counts[:, 0].any():
+        return Model(np.zeros((2, SIZE), np.float32), 0.5, 1.0, 1.0, 0.0, -50.0)
+    base = float(counts[:, 1].sum(dtype=float) / counts.sum(dtype=float))  # weighs documents by their words, as the tables do
+    held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def measure(batches):
         for batch in batches:
@@ -176,9 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             best, words = [], []
             for first, last, d, o in pieces(*buffers(batch.column(0))):
                 w = Words(d, o, ALNUM)
-                each, b = np.diff(w.doc_start), _buckets(w)
+                each, e = np.diff(w.doc_start), features(w)
                 of = np.repeat(fold[first:last], each)
-                s = np.where(of, held.value[1][b], held.value[0][b]) if len(b) else np.zeros(0)
+                # each fold is scored by what the other one has taught
+                s = np.where(of, token_scores(e, held.value[0], base), token_scores(e, held.value[1], base))
                 best.append(best_segments(s, w.doc_start))
                 words.append(each)
             if best:
@@ -187,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     seen = rows.mapInArrow(measure, "best double, words long, y long").collect()  # at most about `sample` rows
     seen = sorted((r.best, r.words, r.y) for r in seen)  # reruns agree
     best, words, y = (np.array(x, float) for x in zip(*seen, strict=True))
-    model = Model(log_odds(counts.sum(0)), *_evidence(best, words, y == 0), 1.0, 0.0)
+    model = Model(counts.sum(0), base, *_evidence(best, words, y == 0), 1.0, 0.0)
     model.slope, model.offset = _logistic(np.sqrt(model.significance(best, words)), y)
     return model
 
@@ -208,7 +226,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text", passages: bool =
             score, spans = [], []
             for _, _, d, o in pieces(*buffers(batch.column(names.index(text)))):
                 w = Words(d, o, ALNUM)
-                s = m.weights[_buckets(w)]
+                s = token_scores(features(w), m.counts, m.base)
                 best, each = best_segments(s, w.doc_start), np.diff(w.doc_start)
                 score.append(m.probability(m.significance(best, each)))
                 # the segment score at which the expected number of such segments falls to E_VALUE
