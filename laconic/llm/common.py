@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def remainder(doc_id: str, n: int):
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
+
+
+#: Bits of the filters that spare a shuffle rows without a partner.
+BLOOM_BITS = 23
+
+
+def bloom(values: DataFrame) -> np.ndarray:
+    """A filter of 2**BLOOM_BITS bits that holds the rows' single column, gathered as at most 2**(BLOOM_BITS - 6) words.
+
+    It has one size for any input; the more values, the more others pass.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(values.columns[0]), 64 - BLOOM_BITS)
+    words = values.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    bits = np.zeros(1 << BLOOM_BITS, bool)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        for k in range(64):
+            if r.b >> k & 1:
+                bits[(r.w << 6) + k] = True
+    return bits
+
+
+def may_hold(spark: SparkSession, bits: np.ndarray, column):
+    """Condition: the column's value may be in the filter. Only its hash goes to Python."""
+    held = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def look(h: pd.Series) -> pd.Series:
+        return pd.Series(held.value[(h.to_numpy().view(np.uint64) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)])
+
+    return look(F.xxhash64(column))

@@ -31,12 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from laconic.llm.common import materialise
+from laconic.llm.common import bloom, materialise, may_hold
 
 #: Rows of a range of ids, and most ranges.
 RANGE_ROWS = 4_000
 MOST_RANGES = 20_000
-BLOOM_BITS = 23
 
 
 def canonical(text: str | None) -> str:
@@ -129,47 +128,25 @@ def _compared(doc_id, text: str, following: str) -> tuple:
     return doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), fingerprint, edited_fingerprint, float(own == changed), float(own == other)
 
 
-def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hits: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, digest, form) of each row; hits: a Bloom filter, and only rows whose digest may be in it."""
-    held = docs.sparkSession.sparkContext.broadcast(hits)
+def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, digest, form) of each row."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                form = canonical(t)
-                d = digest(form)
-                if held.value is None or held.value[slot(d)]:
-                    rows.append((i, d, form))
-            i, d, f = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(0).type), pa.array(d, pa.string()), pa.array(f, pa.string())], names=["doc_id", "digest", "form"])
+            forms = [canonical(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(f) for f in forms], pa.string()), pa.array(forms, pa.string())], names=["doc_id", "digest", "form"])
 
     return docs.select(doc_id, text).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, digest string, form string")
 
 
-def slot(d: str) -> int:
-    return int(d[:8], 16) >> (32 - BLOOM_BITS)
-
-
-def _bloom(repeated: DataFrame) -> np.ndarray:
-    """A filter of 2**BLOOM_BITS bits that holds the digests, gathered as at most 2**(BLOOM_BITS - 6) words."""
-    place = F.shiftrightunsigned(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - BLOOM_BITS)
-    words = repeated.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        for k in range(64):
-            if r.b >> k & 1:
-                bits[(r.w << 6) + k] = True
-    return bits
-
-
 def collisions(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(digest) of the buckets that hold more than one canonical text, byte by byte; found: a column digest of all rows.
 
     Copies within a task are one row before the shuffle.
     """
     repeated = found.groupBy("digest").count().where("count > 1")
-    forms = digests(docs, doc_id, text, _bloom(repeated)).select("digest", "form").distinct()
+    held = may_hold(docs.sparkSession, bloom(repeated.select("digest")), F.col("digest"))
+    forms = digests(docs, doc_id, text).where(held).select("digest", "form").distinct()
     return forms.groupBy("digest").count().where("count > 1").select("digest")
 
 

@@ -18,9 +18,11 @@ collisions.  Shared keys give candidates, verified on the words themselves.
 
 Skew.  Equal sets collapse to one representative first.  A bucket of at
 most `SMALL` members gives its pairs; a larger one gives a star around its
-smallest member, and after those links are known, only the pairs of such
-buckets that are still in different components are compared, by a join
-that Spark may split.  Links and components stay distributed throughout.
+first member, and after those links are known, only members of such
+buckets that are still in different components are compared, in blocks of
+bounded size.  Before any text moves, parity sketches drop the
+pairs that differ in more than H places.  Links and components stay
+distributed throughout.
 
 Defined results: null or wordless texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle has its whole sequence
@@ -40,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laconic.llm.common import materialise
+from laconic.llm.common import bloom, materialise, may_hold
 from laconic.llm.components import components
 from laconic.llm.tokens import U64, buffers, mix, pieces, shingle_sets
 
@@ -50,8 +52,11 @@ SMALL = 24
 KEYS_A_TASK = 3_000_000
 #: Width of a size band: the next one begins at this many times the first size.
 BAND = 1.6
-#: Weight of one expected collision against one written key.
-COLLISION = 400
+#: Weight of one expected collision against one written key, and how fast collisions fall with the tokens of a segment.
+COLLISION, FALL = 100, 1.5
+
+
+EVEN = U64(0xFFFFFFFFFFFFFFFE)
 
 
 def most_different(a: int, b: int, p: int, q: int) -> int:
@@ -72,20 +77,20 @@ def bands(p: int, q: int, up_to: int) -> list[int]:
 def allocate(first: int, most: int) -> tuple[int, int]:
     """(d, e) for a band whose sets have at least `first` tokens and differ in at most `most`."""
     best = None
-    for d in sorted({0, 1, 2, most // 4, (most + 1) // 2} & set(range((most + 1) // 2 + 1))):
+    for d in range(min(3, (most + 1) // 2) + 1):
         need = most - 2 * d + 1
         e = math.ceil(need * 1.15) if need > 0 else 0
         if d + e == 0:
             continue
         mean = first / (d + e)
-        cost = d * (1 + mean) + max(0, need) + COLLISION * (d + e) * math.exp(-mean)
+        cost = d * (1 + mean) + max(0, need) + COLLISION * (d + e) * math.exp(-FALL * mean)
         if best is None or cost < best[0]:
             best = cost, d, e
     return best[1], best[2]
 
 
 def keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The bucket keys of one set, given as sorted distinct 64-bit hashes."""
+    """The bucket keys of one set, given as sorted distinct 64-bit hashes; the lowest bit tells a segment without one token from a whole one."""
     s, out = len(tokens), []
     edges = bands(p, q, 1 << max(8, s.bit_length()))
     own = int(np.searchsorted(edges, s, side="right")) - 1
@@ -108,25 +113,38 @@ def keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
         base = mix(np.arange(m, dtype=U64) + U64((band + 1) << 40))
         if here - 2 * d + 1 > 0 and e:
             rank = np.lexsort((np.arange(e), -counts[d:]))[: here - 2 * d + 1] + d
-            out.append(mix(mix(base[rank] + sums[rank]) + counts[rank].astype(U64)))
+            out.append(mix(mix(base[rank] + sums[rank]) + counts[rank].astype(U64)) & EVEN)
         if d:
-            out.append(mix(mix(base[:d] + sums[:d]) + counts[:d].astype(U64)))
+            out.append(mix(mix(base[:d] + sums[:d]) + counts[:d].astype(U64)) & EVEN)
             inside = segment[order] < d
             i = segment[order][inside]
-            out.append(mix(mix(base[i] + sums[i] - members[inside]) + (counts[i] - 1).astype(U64)))
+            out.append(mix(mix(base[i] + sums[i] - members[inside]) + (counts[i] - 1).astype(U64)) | U64(1))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens in a power of two of places, two for each token or more.
+
+    Two sets differ in at least as many tokens as their sketches differ in
+    bits; the halves of a sketch, one upon the other, are the next smaller one.
+    """
+    places = max(1024, 1 << (2 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((mix(tokens + U64(77)) & U64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
+
+
 def set_digests(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, digest): digest is null for an empty set, else 16 bytes that equal sets share."""
+    """(doc_id, n_shingles, digest, sketch): digest and sketch are null for an empty set; equal sets share the 16 bytes of the digest."""
 
     def run(batches):
         for batch in batches:
             sets = [u for _, _, d, o in pieces(*buffers(batch.column(1))) for u in shingle_sets(d, o, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets], pa.binary())], names=["doc_id", "n_shingles", "digest"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(u) for u in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in sets], pa.binary()), pa.array([sketch(u) if len(u) else None for u in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "sketch"],
+            )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sketch binary")
 
 
 def _packed(docs: DataFrame, text: str, n: int, p: int, q: int, parts: int) -> DataFrame:
@@ -150,7 +168,7 @@ def _packed(docs: DataFrame, text: str, n: int, p: int, q: int, parts: int) -> D
                     continue
                 of = np.repeat(np.arange(len(found)), [len(k) for k in found])
                 every = np.concatenate(found)
-                part = (every % U64(parts)).astype(np.int64)
+                part = ((every >> U64(1)) % U64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 of, every, part = of[order], every[order], part[order]
                 cuts = np.flatnonzero(np.diff(part)) + 1
@@ -169,7 +187,7 @@ def _packed(docs: DataFrame, text: str, n: int, p: int, q: int, parts: int) -> D
 
 HEAD = np.dtype([("digest", np.uint8, 16), ("size", np.uint32), ("keys", np.uint32)])
 NAME = np.dtype([("hi", np.uint64), ("lo", np.uint64)])
-CANDIDATE = "key long, a binary, b binary, size long"
+CANDIDATE = "key long, a binary, b binary, whole boolean"
 
 
 def _buckets(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
@@ -185,42 +203,99 @@ def _buckets(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
     size = np.zeros(len(names), np.int64)
     size[ids] = head["size"]
     of = np.repeat(ids, head["keys"])
-    order = np.lexsort((of, every))
-    of, every = of[order], every[order]
+    part_of, every = (every & U64(1)).astype(np.int8), every & EVEN
+    order = np.lexsort((of, part_of, every))
+    of, every, part_of = of[order], every[order], part_of[order]
     fresh = np.ones(len(of), bool)
     fresh[1:] = (of[1:] != of[:-1]) | (every[1:] != every[:-1])
-    of, every = of[fresh], every[fresh]
+    of, every, part_of = of[fresh], every[fresh], part_of[fresh]
     starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
     lengths = np.diff(np.concatenate((starts, [len(every)])))
-    left, right, big_key, big_of = [], [], [], []
-    for length in np.unique(lengths[lengths > 1]).tolist():
-        at = starts[lengths == length]
-        rows = of[at[:, None] + np.arange(length)]
+    wholes = np.add.reduceat(1 - part_of, starts)  # they come first in their bucket; without any, it has no candidate
+    left, right, big = [], [], []
+    for length in np.unique(lengths[(lengths > 1) & (wholes > 0)]).tolist():
+        at = starts[(lengths == length) & (wholes > 0)]
+        places = at[:, None] + np.arange(length)
+        rows = of[places]
         if length <= SMALL:
             i, j = np.triu_indices(length, 1)
-            left.append(rows[:, i].ravel())
-            right.append(rows[:, j].ravel())
+            useful = part_of[places][:, i] == 0
+            left.append(rows[:, i][useful])
+            right.append(rows[:, j][useful])
         else:
             left.append(np.repeat(rows[:, 0], length - 1))
             right.append(rows[:, 1:].ravel())
-            big_key.append(np.repeat(every[at], length))
-            big_of.append(rows.ravel())
+            big.append(places.ravel())
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
     fits = small * q >= large * p
-    pair = np.unique(a[fits] * len(names) + b[fits])
+    a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
+    pair = np.unique(a * len(names) + b)
     a, b = pair // max(1, len(names)), pair % max(1, len(names))
-    k, of = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((big_key, U64), (big_of, np.int64)))
+    places = np.concatenate(big) if big else np.zeros(0, np.int64)
     flat = names.tobytes()
     raw = [flat[i : i + 16] for i in range(0, len(flat), 16)]
     return pd.DataFrame({
-        "key": pd.array([None] * len(a) + k.view(np.int64).tolist(), "Int64"),
-        "a": [raw[i] for i in a] + [raw[i] for i in of],
-        "b": [raw[i] for i in b] + [None] * len(of),
-        "size": np.concatenate((np.zeros(len(a), np.int64), size[of])),
+        "key": pd.array([None] * len(a) + every[places].view(np.int64).tolist(), "Int64"),
+        "a": [raw[i] for i in a] + [raw[i] for i in of[places]],
+        "b": [raw[i] for i in b] + [None] * len(places),
+        "whole": [True] * len(a) + (part_of[places] == 0).tolist(),
     })
 
 
+def _words(sketches, size: int) -> np.ndarray:
+    """Sketches, folded to `size` bytes, as rows of 64-bit words."""
+    out = []
+    for x in sketches:
+        v = np.frombuffer(x, U64)
+        while len(v) * 8 > size:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out.append(v)
+    return np.stack(out) if out else np.zeros((0, size // 8), U64)
+
+
+def plausible(pairs: DataFrame, p: int, q: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, na, nb, sa, sb) whose sketches allow the similarity; no linked pair is lost."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, sa, sb = batch.columns
+            most = (na.to_numpy() + nb.to_numpy()) * (q - p) // (q + p)
+            x, y = sa.to_pylist(), sb.to_pylist()
+            size = np.array([min(len(u), len(v)) for u, v in zip(x, y, strict=True)], np.int64)
+            apart = np.zeros(len(x), np.int64)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                apart[at] = np.bitwise_count(_words([x[i] for i in at], n) ^ _words([y[i] for i in at], n)).sum(1, dtype=np.int64)
+            keep = pa.array(apart <= most)
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+#: Rows of one side that a task of the block comparison holds.
+BLOCK = 2048
+
+
+def _across(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
+    """Plausible pairs between two blocks of a large bucket whose members are in different components."""
+    i, j = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
+    x, y = (frame[frame["block"] == k] for k in (i, j))
+    size = min(frame["sketch"].map(len))
+    sx, sy, out = _words(x["sketch"], size), _words(y["sketch"], size), []
+    nx, ny, cx, cy, wx, wy = (f[c].to_numpy() for c in ("n", "c", "whole") for f in (x, y))
+    for at in range(0, len(x), 32):
+        s = slice(at, at + 32)
+        ok = (cx[s, None] != cy) & (wx[s, None] | wy) & (np.minimum(nx[s, None], ny) * q >= np.maximum(nx[s, None], ny) * p)
+        r, c = np.nonzero(ok)
+        apart = np.bitwise_count(sx[s][r] ^ sy[c]).sum(1, dtype=np.int64)
+        good = apart <= (nx[s][r] + ny[c]) * (q - p) // (q + p)
+        out.append((r[good] + at, c[good]))
+    r, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
+    return pd.DataFrame({"a": x["a"].to_numpy()[r], "b": y["a"].to_numpy()[c]})
+
+
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -236,7 +311,8 @@ def _exact_set(text: str, n: int) -> frozenset:
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, p: int, q: int) -> DataFrame:
     """The pairs (a, b) of document ids whose shingle sets, as words, have Jaccard >= p / q."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = materialise(docs.select(F.col(doc_id).alias("a"), F.col(text).alias("_a")).join(wanted, "a", "left_semi").dropDuplicates(["a"]), "candidates")
+    near = docs.where(may_hold(docs.sparkSession, bloom(wanted), F.col(doc_id))).select(F.col(doc_id).alias("a"), F.col(text).alias("_a"))
+    texts = materialise(near.join(wanted, "a", "left_semi").dropDuplicates(["a"]), "candidates")
 
     def run(batches):
         for batch in batches:
@@ -255,37 +331,40 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs: texts link when 100 * intersection >= percent * union of their n-word shingles."""
-    spark, p, q = docs.sparkSession, percent, 100
+    p, q = percent, 100
     base = materialise(set_digests(docs, doc_id, text, n), "sets")
     total = base.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = materialise(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 3 // 10 // KEYS_A_TASK)
+    first = F.min(F.struct("doc_id", "n_shingles", "sketch"))
+    classes = materialise(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(first.alias("f")).select("digest", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.sketch").alias("sketch")), "classes")
+    parts = 12 + total // 3 // KEYS_A_TASK
     found = materialise(_packed(docs, text, n, p, q, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda f: _buckets(f, p, q), CANDIDATE), "buckets")
 
-    def by_id(df: DataFrame, column: str) -> DataFrame:
-        return df.join(classes.select(F.col("digest").alias(column), F.col("rep").alias("_" + column)), column).drop(column).withColumnRenamed("_" + column, column)
+    def known(column: str) -> DataFrame:
+        return classes.select(F.col("digest").alias(column), F.col("rep").alias("r" + column), F.col("n").alias("n" + column), F.col("sketch").alias("s" + column))
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
-    pairs = materialise(ordered(by_id(by_id(found.where("key is null").select("a", "b").distinct(), "a"), "b")), "pairs")
+    pairs = found.where("key is null").select("a", "b").distinct().join(known("a"), "a").join(known("b"), "b")
+    pairs = materialise(ordered(plausible(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb"), p, q)), "pairs")
     links = materialise(verified(pairs, docs, doc_id, text, n, p, q), "links")
-    big = found.where("key is not null")
-    if not big.isEmpty():
-        big = by_id(big.select("key", "a", "size"), "a")
-        labels = components(links)
-        known = big.join(labels.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "size", F.coalesce("component", "a").alias("c"))
-        known = materialise(known, "large")
-        mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        left = known.join(mixed, "key", "left_semi")
-        right = left.select("key", F.col("a").alias("b"), F.col("size").alias("other"), F.col("c").alias("cb"))
-        rest = left.join(right, "key").where((F.col("c") < F.col("cb")) & (F.least("size", "other") * q >= F.greatest("size", "other") * p))
+    labels = components(links)
+    large = found.where("key is not null")
+    if not large.isEmpty():
+        rows = large.select("key", "a", "whole").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"))
+        rows = materialise(rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component"), "large")
+        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+        kind = pairs.schema["a"].dataType.simpleString()
+        rest = rows.groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q), f"a {kind}, b {kind}")
         rest = materialise(ordered(rest).join(pairs, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             links = links.union(materialise(verified(rest, docs, doc_id, text, n, p, q), "links"))
-    labels = components(links)
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return base.join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            labels = components(links)
+    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    return base.drop("sketch").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

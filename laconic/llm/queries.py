@@ -112,6 +112,6 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
   round(CASE WHEN taken > 0 THEN CASE number % 3
     WHEN 0 THEN least((sqrt(greatest(0, 2.25 - 2 * y)) - 1.5) / -1.0, 1)
     WHEN 1 THEN least(y, 1)
-    ELSE CASE WHEN y < 0.375 THEN least(sqrt(0.25 + 2 * y) - 0.5, 0.5) ELSE least(0.5 + sqrt(1 + 2 * (y - 0.375)) - 1, 1) END END END, 6) AS position
+    ELSE CASE WHEN y < 0.375 THEN least(sqrt(0.25 + 2 * y) - 0.5, 0.5) ELSE least(0.5 + sqrt(1 + 2 * (y - 0.375)) - 1, 1) END END END, 6) + 0.0 AS position
 FROM k
 """

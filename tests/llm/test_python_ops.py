@@ -7,6 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from laconic.llm import common
 from laconic.llm import fingerprints as fp
 from laconic.llm import langid, licenses, line_dedup, queries, toxicity
 
@@ -102,8 +105,11 @@ def test_equal_digests_are_compared(spark, monkeypatch):
 
 def test_bloom_holds_what_it_was_given(spark):
     known = [fp.digest(str(i)) for i in range(500)]
-    bits = fp._bloom(spark.createDataFrame([(k,) for k in known], "digest string"))
-    assert all(bits[fp.slot(k)] for k in known) and bits.sum() <= 500
+    df = spark.createDataFrame([(k,) for k in known], "digest string")
+    bits = common.bloom(df)
+    assert 400 < bits.sum() <= 500
+    assert df.where(common.may_hold(spark, bits, F.col("digest"))).count() == 500
+    assert spark.range(5000).where(common.may_hold(spark, bits, F.col("id"))).count() < 50
 
 
 def test_naive_bayes_by_hand():
