@@ -1,0 +1 @@
+"""Spark-native analysis and compression of the text that flows through LLM agent conversations."""
