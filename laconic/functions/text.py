@@ -95,7 +95,7 @@ def cut_chars(text, most: int) -> Column:
     t, note = col(text), NOTE_CHARS
     budget = max(0, most - len(note))
     if budget == 0:
-        return F.when(F.octet_length(t) <= most, t).otherwise(F.lit(note[:most]))
+        return F.when(F.octet_length(t) > most, F.lit(note[:most])).otherwise(t)
     head = -(-budget * 55 // 100)
     tail = budget - head
     last = F.when(F.length(t) > tail, F.substring(t, -tail, tail)).otherwise(F.lit("")) if tail else F.lit("")
@@ -140,7 +140,7 @@ def rendered(array, keep) -> Column:
         return F.when((j > 0) & (i > before + 1), F.array(note(i - before - 1), line)).otherwise(F.array(line))
 
     # element_at is 1-based, so position j of the lambda is the kept line before it
-    return F.array_join(F.flatten(F.transform(k, lambda i, j: F.when(j == 0, F.array(F.element_at(L, i.cast("int") + 1))).otherwise(one(i, j)))), "\n", "")
+    return F.when(L.isNotNull(), F.array_join(F.flatten(F.transform(k, lambda i, j: F.when(j == 0, F.array(F.element_at(L, i.cast("int") + 1))).otherwise(one(i, j)))), "\n", ""))
 
 
 def smart_truncate(text, max_lines: int, head: int, tail: int, priority: str | None = None, keywords=None, max_bytes: int = 0) -> Column:

@@ -49,11 +49,10 @@ def paired(items: DataFrame) -> DataFrame:
 
 def pairing_counts(items: DataFrame) -> DataFrame:
     """exec_calls, paired, orphan_outputs."""
-    c = calls(items)
-    ids = c.where("call_id is not null and command is not null").select("call_id").distinct()
-    o = items.where((F.col("type") == "function_call_output") & F.col("call_id").isNotNull()).select("call_id").distinct()
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return one(c, "exec_calls").crossJoin(one(o.join(ids, "call_id", "left_semi"), "paired")).crossJoin(one(o.join(ids, "call_id", "left_anti"), "orphan_outputs"))
+    c = calls(items).select("call_id", F.lit(1).alias("call"), F.col("command").isNotNull().alias("asks"), F.lit(False).alias("answers"))
+    o = items.where((F.col("type") == "function_call_output") & F.col("call_id").isNotNull()).select("call_id", F.lit(0).alias("call"), F.lit(False).alias("asks"), F.lit(True).alias("answers"))
+    ids = c.unionByName(o).groupBy("call_id").agg(F.sum("call").alias("calls"), (F.bool_or("asks") & F.col("call_id").isNotNull()).alias("asks"), F.bool_or("answers").alias("answers"))
+    return ids.agg(F.coalesce(F.sum("calls"), F.lit(0)).alias("exec_calls"), _n(F.col("asks") & F.col("answers")).alias("paired"), _n(~F.col("asks") & F.col("answers")).alias("orphan_outputs"))
 
 
 def read_target(command) -> Column:
