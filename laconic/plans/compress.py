@@ -19,6 +19,7 @@ from laconic.functions import text as tx
 from laconic.operators import outputs, plain
 from laconic.operators.condense import condensed
 from laconic.rules.filters import Filter, combined
+from laconic.sources import requests
 
 RESULT = "text string, command_type string, category string, confidence double, filter_id string, grouped boolean"
 
@@ -62,8 +63,19 @@ def user_text(text, config: EngineConfig) -> Column:
     return condensed(text, "user", config.condense_level) if config.condense else tx.col(text)
 
 
+@F.udtf(returnType="dialect string, pos int, path string, role string, kind string, text string, hint string")
+class ExplodeMessages:
+    """SQL: SELECT ... FROM requests, LATERAL explode_messages(body)."""
+
+    def eval(self, body: str):
+        dialect, rows, _ = requests.read(body)
+        for r in rows:
+            yield dialect, r["pos"], r["path"], r["role"], r["kind"], r["text"], r["hint"]
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions estimate_tokens, fold_lines, compress_output(text, command)."""
+    """SQL functions estimate_tokens, fold_lines, compress_output(text, command), and the table function explode_messages(body)."""
     spark.udf.register("estimate_tokens", F.pandas_udf(lambda s: s.map(lambda t: None if t is None else (len(t) + 3) // 4), "long"))
     spark.udf.register("fold_lines", F.pandas_udf(lambda s: s.map(lambda t: None if t is None else outputs.fold(t)), "string"))
-    spark.udf.register("compress_output", F.pandas_udf(lambda t, c: pd.Series([None if x is None else plain.compress_output(x, y).text for x, y in zip(t, c, strict=True)]), "string"))
+    spark.udf.register("compress_output", F.pandas_udf(lambda t, c: pd.Series([None if x is None else plain.compress_output(x, y).text for x, y in zip(t, c, strict=True)], dtype=object), "string"))
+    spark.udtf.register("explode_messages", ExplodeMessages)
