@@ -146,3 +146,17 @@ def test_config():
     assert (c.condense, c.condense_level, c.grouping, c.char_budget, c.compress) == (True, "full", False, 99, True)
     assert EngineConfig.from_env({"LACONIC_CONDENSE": "ultra", "LACONIC_CONDENSE_LEVEL": "aggressive"}).condense_level == "lite"
     assert EngineConfig.from_env({}) == EngineConfig()
+
+
+def test_variant_form_is_the_same(spark):
+    from laconic.sources import variant
+
+    odd = [{"messages": [3, None, {"content": 5}, {"role": "tool", "tool_call_id": "c1", "content": "o"}]}, {"contents": [{"parts": [1, {"functionCall": 3}, {"text": "t"}]}]}, {"messages": [{"role": "user", "content": [{"type": "tool_result", "content": [{"text": "a"}, {"text": ""}, 3]}, {"type": "text", "text": ""}]}]}]
+    bodies = [json.dumps(b) for b in (chat(), chat("none"), blocks(), parts(), parts(True), *odd, {"foo": 1})] + ["nope", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "request_id int, body string")
+    got: dict = {}
+    for r in variant.messages(df).collect():
+        got.setdefault(r.request_id, []).append((tuple(r.at), (r.role, r.kind, r.text, r.hint)))
+    for i, b in enumerate(bodies):
+        want = [(m["role"], m["kind"], m["text"], m["hint"]) for m in requests.read(b)[1]]
+        assert sorted(x for _, x in got.get(i, [])) == sorted(want, key=str) if not any(w[3] is None for w in want) else sorted(map(str, (x for _, x in got.get(i, [])))) == sorted(map(str, want)), i
