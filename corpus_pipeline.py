@@ -8,6 +8,7 @@ docs.  All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from laconic.llm.common import materialise, remainder, table
 from laconic.llm.decontaminate import decontaminate
@@ -20,7 +21,8 @@ from laconic.llm.toxicity import fit, toxicity
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled part of these documents, doesn't predict as toxic."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
-    return toxicity(docs, fit(docs, labels)).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"))
+    return toxicity(rows, fit(docs, labels), text="_text").where("predicted = 0").select("_row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     names = {x for x, _ in FIELDS}
     keep = [c for c in docs.columns if c not in names]
     docs = docs.select(*keep)
-    source = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    source = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = source.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     spark, mask, seen = docs.sparkSession, _column("_hit", keep), _column("_items", keep)
@@ -179,8 +179,7 @@ def _pass(held, keep: list[str], text: str, mask: str, seen: str, first: bool, f
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any occurrence of a benchmark window, with their own columns."""
-    columns = docs.columns
-    flagged = docs.withColumn("_order", F.lit(0)) if not columns else docs
-    return contamination(flagged, benchmark, **options).where(~F.col("contaminated")).select(*columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with all their own columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    return contamination(rows, benchmark, text="_text", **options).where(~F.col("contaminated")).select("_row.*")

@@ -56,7 +56,7 @@ def _ranges(docs: DataFrame, doc_id: str) -> tuple[np.ndarray, int]:
     if n == 1:
         return np.zeros(0, np.int64), 1
     cuts = docs.agg(F.percentile_approx(doc_id, [i / n for i in range(1, n)], 10 * n).alias("c")).first().c
-    edges = np.unique(np.array(cuts, np.int64))
+    edges = np.unique(np.array(cuts or [], np.int64))  # no cuts: all ids are null
     return edges, len(edges) + 1
 
 
