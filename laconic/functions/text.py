@@ -26,6 +26,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once: an expression inside a lambda is evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
 def tokens(text) -> Column:
     """Estimated tokens: a quarter of the characters, rounded up."""
     return F.floor((F.length(col(text)) + 3) / 4).cast("long")
@@ -131,38 +136,43 @@ def rendered(array, keep) -> Column:
 
     keep: sorted line numbers (from 0).
     """
-    L, k = col(array), col(keep)
-    note = lambda gap: F.concat(F.lit("[rtk:truncated "), gap.cast("string"), F.lit(" lines]"))
 
-    def one(i: Column, j: Column) -> Column:
-        before = F.element_at(k, j.cast("int"))
-        line = F.element_at(L, i.cast("int") + 1)
-        return F.when((j > 0) & (i > before + 1), F.array(note(i - before - 1), line)).otherwise(F.array(line))
+    def render(L: Column, k: Column) -> Column:
+        note = lambda gap: F.concat(F.lit("[rtk:truncated "), gap.cast("string"), F.lit(" lines]"))
+
+        def one(i: Column, j: Column) -> Column:
+            line, before = F.element_at(L, i.cast("int") + 1), F.get(k, j - 1)  # null for the first
+            return F.when(i > before + 1, F.array(note(i - before - 1), line)).otherwise(F.array(line))
 
-    # element_at is 1-based, so position j of the lambda is the kept line before it
-    return F.when(L.isNotNull(), F.array_join(F.flatten(F.transform(k, lambda i, j: F.when(j == 0, F.array(F.element_at(L, i.cast("int") + 1))).otherwise(one(i, j)))), "\n", ""))
+        return F.array_join(F.flatten(F.transform(k, one)), "\n", "")
+
+    return F.when(col(array).isNotNull(), let(F.struct(col(array).alias("L"), col(keep).alias("k")), lambda s: render(s["L"], s["k"])))
 
 
 def smart_truncate(text, max_lines: int, head: int, tail: int, priority: str | None = None, keywords=None, max_bytes: int = 0) -> Column:
     """Head, tail, priority and keyword lines of texts over a limit; what is kept may exceed max_lines."""
-    t, L = col(text), lines_lf(text)
+    t = col(text)
+
+    def cut(L: Column) -> Column:
+        n = F.size(L)
+
+        def kept(x: Column, i: Column) -> Column:
+            keep = (i < head) | (i >= n - tail)
+            if priority:
+                keep = keep | x.rlike(priority)
+            if keywords is not None:
+                keep = keep | has_keyword(x, keywords)
+            return F.when(keep, i)
+
+        out = rendered(L, F.filter(F.transform(L, kept), lambda i: i.isNotNull()))
+        return cut_chars(out, max_bytes) if max_bytes > 0 else out
+
     over = F.lit(False)
     if max_lines > 0:
-        over = over | (F.size(L) > max_lines)
+        over = over | (newlines(t) >= max_lines)
     if max_bytes > 0:
         over = over | (F.octet_length(t) > max_bytes)
-
-    def kept(x: Column, i: Column) -> Column:
-        keep = (i < head) | (i >= F.size(L) - tail)
-        if priority:
-            keep = keep | x.rlike(priority)
-        if keywords is not None:
-            keep = keep | has_keyword(x, keywords)
-        return F.when(keep, i)
-
-    keep = F.filter(F.transform(L, kept), lambda i: i.isNotNull())
-    out = rendered(L, keep)
-    return F.when(over, cut_chars(out, max_bytes) if max_bytes > 0 else out).otherwise(t)
+    return F.when(over, let(lines_lf(text), cut)).otherwise(t)
 
 
 def balanced_lines(n, max_lines: int, head: int, middle: int, tail: int) -> Column:
@@ -178,21 +188,28 @@ def balanced_lines(n, max_lines: int, head: int, middle: int, tail: int) -> Colu
 
 
 def balanced_truncate(text, max_lines: int, head: int, middle: int, tail: int) -> Column:
-    L = lines_lf(text)
-    return F.when((F.lit(max_lines) == 0) | (F.size(L) <= max_lines), col(text)).otherwise(rendered(L, balanced_lines(F.size(L), max_lines, head, middle, tail)))
+    t = col(text)
+    cut = let(lines_lf(text), lambda L: rendered(L, balanced_lines(F.size(L), max_lines, head, middle, tail)))
+    return F.when((F.lit(max_lines) == 0) | (newlines(t) < max_lines), t).otherwise(cut)
 
 
 def first_of_each(array, pattern: str) -> Column:
     """Of the lines that match, the first for each trimmed text; other lines all stay."""
-    L = col(array)
-    key = F.transform(L, lambda x: F.when(x.rlike(pattern), trim(x)))
-    return F.transform(
-        F.filter(F.arrays_zip(L.alias("x"), key.alias("k"), F.sequence(F.lit(1), F.greatest(F.size(L), F.lit(1))).alias("i")), lambda s: s["x"].isNotNull() & (s["k"].isNull() | (F.array_position(key, s["k"]) == s["i"]))),
-        lambda s: s["x"],
-    )
+
+    def kept(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["L"]), F.lit(1))), lambda i: F.get(s["key"], i - 1).isNull() | (F.array_position(s["key"], F.get(s["key"], i - 1)) == i))
+        return F.filter(F.transform(at, lambda i: F.get(s["L"], i - 1)), lambda x: x.isNotNull())
+
+    keys = let(col(array), lambda L: F.struct(L.alias("L"), F.transform(L, lambda x: F.when(x.rlike(pattern), trim(x))).alias("key")))
+    return F.when(col(array).isNotNull(), let(keys, kept))
+
+
+def before(L: Column, i: Column) -> Column:
+    """The element before number i of an array that a lambda binds; null for the first."""
+    return F.get(L, i - 1)
 
 
 def safe_clean(text) -> Column:
     """The lossless floor: no escape codes, no blank lines, no line twice in a row."""
-    L = F.filter(lines(strip_ansi(text, CSI_AUDIT)), lambda x: trim(x) != "")
-    return F.array_join(F.filter(L, lambda x, i: (i == 0) | (x != F.element_at(L, F.greatest(i, F.lit(1)).cast("int")))), "\n", "")
+    kept = F.filter(lines(strip_ansi(text, CSI_AUDIT)), lambda x: trim(x) != "")
+    return let(kept, lambda L: F.array_join(F.filter(L, lambda x, i: (i == 0) | (x != before(L, i))), "\n", ""))

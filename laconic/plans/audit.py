@@ -69,13 +69,13 @@ def measured(pairs: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     d = d.withColumn("n_keywords", F.size(commands.keywords(F.col("command"))))
     noted = F.contains("compressed", F.lit("[rtk:truncated"))
     size, small, safe = F.octet_length("output"), F.octet_length("compressed"), F.least(F.octet_length(tx.safe_clean("output")), F.octet_length("output"))
-    out_lines = tx.lines_lf("compressed")
     blank = lambda x: tx.trim(x) == ""
-    twice = F.filter(out_lines, lambda x, i: (i > 0) & ~blank(x) & (x == F.element_at(out_lines, F.greatest(i, F.lit(1)).cast("int"))))
+    twice = lambda L: F.filter(L, lambda x, i: (i > 0) & ~blank(x) & (x == tx.before(L, i)))
+    d = d.withColumn("_lines", tx.let(tx.lines_lf("compressed"), lambda L: F.struct(F.size(L).alias("n"), F.size(F.filter(L, blank)).alias("blank"), F.size(twice(L)).alias("twice"))))
     return d.select(
         "command", "command_type", "filter_id", "grouped", "n_keywords", "header_tokens" if "header_tokens" in pairs.columns else F.lit(None).cast("long").alias("header_tokens"),
         noted.alias("truncated"), size.alias("orig_bytes"), small.alias("out_bytes"), safe.alias("safe_bytes"), F.col("original_tokens").alias("orig_tokens"), F.col("compressed_tokens").alias("out_tokens"),
-        F.size(out_lines).alias("out_lines"), F.size(F.filter(out_lines, blank)).alias("out_blank_lines"), F.size(twice).alias("out_twice_lines"),
+        F.col("_lines.n").alias("out_lines"), F.col("_lines.blank").alias("out_blank_lines"), F.col("_lines.twice").alias("out_twice_lines"),
         ((F.col("command_type") == "unknown") & F.col("filter_id").isNull() & ~F.col("grouped") & (size <= SHORT_BYTES) & (tx.newlines("output") < SHORT_NEWLINES)).alias("passthrough"),
     )
 

@@ -111,9 +111,9 @@ WITH l AS ({SQL_LINES}), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORD
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(NOT regexp_matches(line, '\\S') AS INTEGER)) AS BIGINT) AS blank, CAST(sum(CAST(coalesce(line = before, false) AS INTEGER)) AS BIGINT) AS twice FROM p GROUP BY doc_id
 """)
 def line_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    L = tx.lines_lf("text")
-    same = F.filter(L, lambda x, i: (i > 0) & (x == F.element_at(L, F.greatest(i, F.lit(1)).cast("int"))))
-    return documents(spark, sf_dir).select("doc_id", F.size(L).cast("long").alias("n_lines"), F.size(F.filter(L, lambda x: ~x.rlike(r"\S"))).cast("long").alias("blank"), F.size(same).cast("long").alias("twice"))
+    size = lambda a: F.size(a).cast("long")
+    p = tx.let(tx.lines_lf("text"), lambda L: F.struct(size(L).alias("n_lines"), size(F.filter(L, lambda x: ~x.rlike(r"\S"))).alias("blank"), size(F.filter(L, lambda x, i: (i > 0) & (x == tx.before(L, i)))).alias("twice")))
+    return documents(spark, sf_dir).select("doc_id", p.alias("p")).select("doc_id", "p.*")
 
 
 @query(f"WITH {SQL_FOLDED} SELECT doc_id, folded FROM f")
@@ -129,8 +129,10 @@ k AS (SELECT doc_id, pos, size, array_to_string(string_split(ahead, chr(10))[1:s
 SELECT doc_id, size, md5(block) AS block, CAST(min(pos) - 1 AS INTEGER) AS first_pos, count(*) AS n FROM k GROUP BY doc_id, size, block HAVING count(*) > 1
 """)
 def block_repeat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    L = tx.lines_lf("text")
-    blocks = F.flatten(F.transform(F.array(*[F.lit(k) for k in (3, 4, 5, 6)]), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.size(L) - 1), lambda i: i + k <= F.size(L)), lambda i: F.struct(k.alias("size"), i.alias("pos"), F.md5(F.array_join(F.slice(L, i + 1, k), "\n")).alias("block")))))
+    def blocks_of(L: Column) -> Column:
+        return F.flatten(F.transform(F.array(*[F.lit(k) for k in (3, 4, 5, 6)]), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.size(L) - 1), lambda i: i + k <= F.size(L)), lambda i: F.struct(k.alias("size"), i.alias("pos"), F.md5(F.array_join(F.slice(L, i + 1, k), "\n")).alias("block")))))
+
+    blocks = tx.let(tx.lines_lf("text"), blocks_of)
     each = documents(spark, sf_dir).select("doc_id", F.explode(blocks).alias("b")).select("doc_id", "b.*")
     return each.groupBy("doc_id", "size", "block").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
