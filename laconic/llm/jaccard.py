@@ -6,11 +6,12 @@ token belongs to the segment its hash names.  Of the m segments, d carry
 one-deletion neighbourhoods (the whole segment, and the segment without
 each one of its tokens) and e are compared as they are:
 
-* a pair that shares no key of a deletion segment differs there in two
-  tokens or more for each of the d segments;
-* so at least e - (H - 2d) plain segments are equal, and by the prefix
-  argument the H - 2d + 1 plain segments that come first in one common
-  order hold a shared one.  The order puts segments with many tokens
+* a pair that shares no key of a deletion segment, where one of the two has
+  three tokens or more, differs there in two tokens or more; k such segments
+  of a set are its credit;
+* so at least e - (H - 2k) plain segments are equal, and by the prefix
+  argument the H - 2k + 1 plain segments of each set that come first in one
+  common order hold a shared one.  The order puts segments with many tokens
   first: those are the selective ones, empty and common ones are skipped.
 
 d and e come from a cost model (`allocate`): keys written against expected
@@ -18,9 +19,10 @@ collisions.  Shared keys give candidates, verified on the words themselves.
 
 Skew.  Equal sets collapse to one representative first.  A bucket of at
 most `SMALL` members gives its pairs; a larger one gives a star around its
-first member, and after those links are known, only members of such
-buckets that are still in different components are compared, in blocks of
-bounded size.  Before any text moves, parity sketches drop the
+first member.  After those links are known, only members of such buckets
+that are still in different components are compared, in blocks of bounded
+size: first each component with its nearest one, as often as that brings
+links, then all that is left.  Before any text moves, parity sketches drop the
 pairs that differ in more than H places.  Links and components stay
 distributed throughout.
 
@@ -75,18 +77,18 @@ def bands(p: int, q: int, up_to: int) -> list[int]:
 
 @lru_cache(None)
 def allocate(first: int, most: int) -> tuple[int, int]:
-    """(d, e) for a band whose sets have at least `first` tokens and differ in at most `most`."""
-    best = None
+    """(d, e) for a band whose sets have at least `first` tokens and differ in at most `most`.
+
+    A deletion segment costs a key for each of its tokens and spares two
+    plain ones, the two least selective.
+    """
+    e, best = math.ceil((most + 1) * 1.15), None
     for d in range(min(3, (most + 1) // 2) + 1):
-        need = most - 2 * d + 1
-        e = math.ceil(need * 1.15) if need > 0 else 0
-        if d + e == 0:
-            continue
         mean = first / (d + e)
-        cost = d * (1 + mean) + max(0, need) + COLLISION * (d + e) * math.exp(-FALL * mean)
+        cost = d * (1 + mean) + max(0, most - 2 * d + 1) * (1 + COLLISION * math.exp(-FALL * mean))
         if best is None or cost < best[0]:
-            best = cost, d, e
-    return best[1], best[2]
+            best = cost, d
+    return best[1], e
 
 
 def keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -111,13 +113,17 @@ def keys(tokens: np.ndarray, p: int, q: int) -> np.ndarray:
         ends = np.cumsum(counts)
         sums = total[ends] - total[ends - counts]
         base = mix(np.arange(m, dtype=U64) + U64((band + 1) << 40))
-        if here - 2 * d + 1 > 0 and e:
-            rank = np.lexsort((np.arange(e), -counts[d:]))[: here - 2 * d + 1] + d
+        # a segment of one or two tokens, or none, is too common as a key: it gives no credit
+        credit = int((counts[:d] > 2).sum())
+        if here - 2 * credit + 1 > 0:
+            rank = np.lexsort((np.arange(e), -counts[d:]))[: here - 2 * credit + 1] + d
             out.append(mix(mix(base[rank] + sums[rank]) + counts[rank].astype(U64)) & EVEN)
         if d:
-            out.append(mix(mix(base[:d] + sums[:d]) + counts[:d].astype(U64)) & EVEN)
-            inside = segment[order] < d
-            i = segment[order][inside]
+            i = np.flatnonzero(counts[:d] > 1)
+            out.append(mix(mix(base[i] + sums[i]) + counts[i].astype(U64)) & EVEN)
+            i = segment[order]
+            inside = (i < d) & (counts[i] > 2)
+            i = i[inside]
             out.append(mix(mix(base[i] + sums[i] - members[inside]) + (counts[i] - 1).astype(U64)) | U64(1))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
@@ -274,12 +280,14 @@ def plausible(pairs: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+#: Rounds in which each component of a large bucket only meets its nearest one, before all that is left is compared.
+ROUNDS = 3
 #: Rows of one side that a task of the block comparison holds.
 BLOCK = 2048
 
 
-def _across(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
-    """Plausible pairs between two blocks of a large bucket whose members are in different components."""
+def _across(frame: pd.DataFrame, p: int, q: int, closest: bool) -> pd.DataFrame:
+    """Plausible pairs between two blocks of a large bucket whose members are in different components; closest: one for each component, its nearest."""
     i, j = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
     x, y = (frame[frame["block"] == k] for k in (i, j))
     size = min(frame["sketch"].map(len))
@@ -291,9 +299,14 @@ def _across(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
         r, c = np.nonzero(ok)
         apart = np.bitwise_count(sx[s][r] ^ sy[c]).sum(1, dtype=np.int64)
         good = apart <= (nx[s][r] + ny[c]) * (q - p) // (q + p)
-        out.append((r[good] + at, c[good]))
-    r, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
-    return pd.DataFrame({"a": x["a"].to_numpy()[r], "b": y["a"].to_numpy()[c]})
+        out.append((r[good] + at, c[good], apart[good]))
+    r, c, apart = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+    pairs = pd.DataFrame({"a": x["a"].to_numpy()[r], "b": y["a"].to_numpy()[c]})
+    if closest and len(pairs):
+        ends = pd.DataFrame({"of": np.concatenate((cx[r], cy[c])), "apart": np.tile(apart, 2), "at": np.tile(np.arange(len(r)), 2)})
+        nearest = ends.sort_values(["apart", "at"], kind="stable").drop_duplicates("of")["at"].unique()
+        pairs = pairs.iloc[nearest]
+    return pairs
 
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -329,6 +342,17 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _between(rows: DataFrame, labels: DataFrame, p: int, q: int, closest: bool) -> DataFrame:
+    """Plausible pairs (a, b) of different components within the large buckets `rows` (key, a, whole, n, sketch)."""
+    known = rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    dealt = known.join(mixed, "key").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    kind = rows.schema["a"].dataType.simpleString()
+    return dealt.groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q, closest), f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs: texts link when 100 * intersection >= percent * union of their n-word shingles."""
     p, q = percent, 100
@@ -352,18 +376,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     large = found.where("key is not null")
     if not large.isEmpty():
         rows = large.select("key", "a", "whole").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"))
-        rows = materialise(rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component"), "large")
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(mixed, "key").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
-        kind = pairs.schema["a"].dataType.simpleString()
-        rest = rows.groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q), f"a {kind}, b {kind}")
-        rest = materialise(ordered(rest).join(pairs, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links = links.union(materialise(verified(rest, docs, doc_id, text, n, p, q), "links"))
-            labels = components(links)
-    named = classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+        rows = materialise(rows, "large")
+        tried, closest = pairs, ROUNDS
+        while True:
+            rest = materialise(ordered(_between(rows, labels, p, q, closest > 0)).join(tried, ["a", "b"], "left_anti"), "rest")
+            fresh = None if rest.isEmpty() else materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
+            if fresh is not None and not fresh.isEmpty():
+                links = links.union(fresh)
+                labels = components(links)
+            elif closest > 0:
+                closest = 1  # nearest pairs bring nothing new: compare all that is left
+            if closest == 0:
+                break
+            tried, closest = tried.union(rest), closest - 1
+    # as a table of its own, so that Spark can split a digest that very many rows share
+    named = materialise(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
     return base.drop("sketch").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
