@@ -395,8 +395,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near duplicates: of each component the row with the component's id stays, once; rows with a null id or no words all stay."""
+    """docs without near duplicates: of each component the row with the component's id stays, one if it is repeated; rows without an id or words all stay."""
     found = near_duplicates(docs, doc_id, text, n, percent).where("n_shingles > 0 and doc_id is not null")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    return kept
+    twice = materialise(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_semi").dropDuplicates([doc_id])
+    return kept.join(twice, F.col(doc_id) == F.col("_twice"), "left_anti").unionByName(once)

@@ -6,8 +6,9 @@ has at least `min_words` words.  Every window selects its smallest line
 hash: windows with equal lines select the same one, so a repeated run of
 that many words is certain to share a fingerprint.
 
-1. Fingerprints are counted, summed before the shuffle; windows whose
-   fingerprint occurs once are done with.
+1. Fingerprints are counted, summed before the shuffle; those that occur
+   more than once go into a filter of fixed size, and windows whose
+   fingerprint isn't in it are done with.
 2. The positions left are joined by the hash of the whole window with its
    first occurrence (smallest id, then line).
 3. Matches are extended both ways: overlapping windows that occurred before
@@ -19,8 +20,8 @@ only, so a passage that a third of all documents share costs as many rows
 as it has occurrences, spread by Spark's skew join.
 
 Defined results: null and empty texts have no lines and come back as they
-are; two rows with one id are the same place, so neither is later than the
-other; other columns are kept, and the added ones replace their namesakes.
+are, and so do rows without an id, which take no part; two rows with one id
+are the same place, so neither is later than the other; other columns are kept, and the added ones replace their namesakes.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laconic.llm.common import materialise
+from laconic.llm.common import bloom, materialise, may_hold
 
 MIN_WORDS = 50
 
@@ -76,17 +77,18 @@ def _all_windows(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFra
                     lasts.append(lines[b - 1][0])
             yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, batch.column(0).type), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())], names=["print", "k1", "k2", "doc_id", "first", "last"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"print long, k1 long, k2 long, doc_id {docs.schema[doc_id].dataType.simpleString()}, first long, last long")
+    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(run, f"print long, k1 long, k2 long, doc_id {docs.schema[doc_id].dataType.simpleString()}, first long, last long")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, first, last): line numbers of the windows that occurred before, in an earlier place."""
     every = materialise(_all_windows(docs, doc_id, text, min_words), "windows")
-    place = F.struct("doc_id", "first", "last")
-    shared = every.groupBy("print").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("print")
-    left = every.join(shared, "print", "left_semi")
+    # a filter may let more through, never fewer: the next step is exact by itself
+    shared = every.groupBy("print").count().where("count > 1").select("print")
+    left = every.where(may_hold(docs.sparkSession, bloom(shared), F.col("print")))
     origin = left.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.max(F.struct("doc_id", "first")).alias("final")).where("origin < final").drop("final")
-    later = left.join(origin, ["k1", "k2"]).where(F.struct("doc_id", "first") > F.col("origin"))
+    # as a table of its own, so that Spark can split the other side of a hot passage
+    later = left.join(materialise(origin, "origins"), ["k1", "k2"]).where(F.struct("doc_id", "first") > F.col("origin"))
     return later.select("doc_id", "first", "last")
 
 
