@@ -74,3 +74,17 @@ def may_hold(spark: SparkSession, bits: np.ndarray, column):
         return pd.Series(held.value[(h.to_numpy().view(np.uint64) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)])
 
     return look(F.xxhash64(column))
+
+
+def holding(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose column may be among the values' single column, without Python.
+
+    The same filter as bloom(), as a table of at most 2**(BLOOM_BITS - 6)
+    words of 64 bits, which is what gets broadcast.
+    """
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BLOOM_BITS)
+    words = values.select(place(values.columns[0]).alias("p")).select(F.shiftright("p", 6).alias("_w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
+    words = words.groupBy("_w").agg(F.bit_or("b").alias("_b"))
+    rows = df.withColumn("_p", place(column))
+    found = rows.join(F.broadcast(words), F.shiftright("_p", 6) == F.col("_w")).where(F.expr("shiftright(_b, cast(_p & 63 as int)) & 1 = 1"))
+    return found.select(*df.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laconic.llm.common import bloom, materialise, may_hold
+from laconic.llm.common import holding, materialise
 
 MIN_WORDS = 50
 
@@ -85,7 +85,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     every = materialise(_all_windows(docs, doc_id, text, min_words), "windows")
     # a filter may let more through, never fewer: the next step is exact by itself
     shared = every.groupBy("print").count().where("count > 1").select("print")
-    left = every.where(may_hold(docs.sparkSession, bloom(shared), F.col("print")))
+    left = holding(every, shared, "print")
     origin = left.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.max(F.struct("doc_id", "first")).alias("final")).where("origin < final").drop("final")
     # as a table of its own, so that Spark can split the other side of a hot passage
     later = left.join(materialise(origin, "origins"), ["k1", "k2"]).where(F.struct("doc_id", "first") > F.col("origin"))

@@ -110,6 +110,10 @@ def test_bloom_holds_what_it_was_given(spark):
     assert 400 < bits.sum() <= 500
     assert df.where(common.may_hold(spark, bits, F.col("digest"))).count() == 500
     assert spark.range(5000).where(common.may_hold(spark, bits, F.col("id"))).count() < 50
+    assert common.holding(df, df, "digest").count() == 500 and common.holding(df, df.limit(0), "digest").count() == 0
+    ids = spark.range(3000)
+    want = ids.where(common.may_hold(spark, common.bloom(ids.where("id % 7 = 0")), F.col("id"))).collect()
+    assert sorted(common.holding(ids, ids.where("id % 7 = 0"), "id").collect()) == sorted(want)
 
 
 def test_naive_bayes_by_hand():
