@@ -62,9 +62,42 @@ def command_of(doc_id: str = "doc_id") -> Column:
 
 SQL_COMMAND = f"list_extract([{', '.join(map(q, COMMANDS))}], CAST(doc_id % {len(COMMANDS)} AS INTEGER) + 1)"
 SQL_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL"
-#: Both dialects agree on classes only for texts in ASCII.
-SQL_ASCII, ASCII = "regexp_matches(text, '^[\\x00-\\x7F]*$')", r"^[\x00-\x7F]*\z"
-SQL_ERROR = q(tx.ERROR_LINE)
+#: White space, word characters and digits of Unicode, as parts of RE2 classes: RE2's own \s, \w, \d and \b know ASCII only.
+RE2 = {"s": r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}", "w": r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}", "d": r"\p{Nd}"}
+#: A word character outside ASCII.
+RE2_WORD = "(?:" + "|".join(rf"[^\x00-\x7F\P{{{x}}}]" for x in ("L", "M", "Nd", "Nl", "Pc")) + r"|[\x{200C}\x{200D}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}])"
+
+
+def re2(pattern: str, edges: bool = True) -> str:
+    r"""The pattern for RE2 with classes of Unicode; edges: each \b, which must come in pairs around a word, takes the character next to it (for tests, not for replacements)."""
+    out, i, inside, opened = [], 0, False, False
+    pattern = pattern.replace(r"[\s\S]", r"[\x{0}-\x{10FFFF}]")
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            x = pattern[i + 1]
+            if x in RE2:
+                c = RE2[x] if inside else f"[{RE2[x]}]"
+            elif x.lower() in RE2:
+                assert not inside, pattern
+                c = f"[^{RE2[x.lower()]}]"
+            elif x == "b" and edges:
+                opened = not opened
+                c = rf"(?:{r'\A' if opened else r'\z'}|[^{RE2['w']}])"
+            else:
+                c += x
+            i += 1
+        elif c == "[" and not inside:
+            inside = True
+        elif c == "]" and inside:
+            inside = False
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
+SQL_ERROR = q(re2(tx.ERROR_LINE))
+SQL_FILLED, SQL_TRIM = q(re2(r"\S")), q(re2(r"^\s+|\s+$"))
 SQL_FOLDED = f"""
 l AS ({SQL_LINES}),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS island FROM l),
@@ -95,10 +128,10 @@ def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", tx.strip_ansi(F.concat(esc, F.lit("[31;1m"), "text", esc, F.lit("[0m"), esc, F.lit("[?25l"))).alias("plain"))
 
 
-@query(f"SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN ' STDERR | ' WHEN 1 THEN 'err: ' ELSE 'error: ' END || string_split(text, chr(10))[1], {q(tx.STDERR)}, '') AS line FROM documents WHERE {SQL_ASCII}")
+@query(f"SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN ' STDERR | ' WHEN 1 THEN 'err: ' ELSE 'error: ' END || string_split(text, chr(10))[1], {q(re2(tx.STDERR))}, '') AS line FROM documents WHERE text IS NOT NULL")
 def stderr_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.col("doc_id") % 3 == 0, " STDERR | ").when(F.col("doc_id") % 3 == 1, "err: ").otherwise("error: ")
-    return documents(spark, sf_dir).where(F.col("text").rlike(ASCII)).select("doc_id", tx.strip_stderr(F.concat(head, F.substring_index("text", "\n", 1))).alias("line"))
+    return documents(spark, sf_dir).select("doc_id", tx.strip_stderr(F.concat(head, F.substring_index("text", "\n", 1))).alias("line"))
 
 
 @query("SELECT source, strlen(text) <= 2000 AND length(text) - length(replace(text, chr(10), '')) < 30 AS is_short, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")
@@ -137,11 +170,11 @@ def block_repeat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id", "size", "block").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-@query(f"WITH l AS ({SQL_LINES}) SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(line, {SQL_ERROR})) AS INTEGER) AS errors, CAST(count(*) FILTER (WHERE contains(lower(line), 'licen') OR contains(lower(line), 'ha')) AS INTEGER) AS wanted FROM l JOIN (SELECT doc_id FROM documents WHERE {SQL_ASCII}) USING (doc_id) GROUP BY doc_id")
+@query(f"WITH l AS ({SQL_LINES}) SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(line, {SQL_ERROR})) AS INTEGER) AS errors, CAST(count(*) FILTER (WHERE contains(lower(line), 'licen') OR contains(lower(line), 'ha')) AS INTEGER) AS wanted FROM l GROUP BY doc_id")
 def error_and_keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     L = tx.lines_lf("text")
     words = F.array(F.lit("Licen"), F.lit("ha"), F.lit("x"))
-    return documents(spark, sf_dir).where(F.col("text").rlike(ASCII)).select("doc_id", F.size(F.filter(L, tx.is_error_line)).alias("errors"), F.size(F.filter(L, lambda x: tx.has_keyword(x, words))).alias("wanted"))
+    return documents(spark, sf_dir).select("doc_id", F.size(F.filter(L, tx.is_error_line)).alias("errors"), F.size(F.filter(L, lambda x: tx.has_keyword(x, words))).alias("wanted"))
 
 
 @query(f"""
@@ -156,11 +189,11 @@ def drop_then_include_or_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH l AS ({SQL_LINES}), k AS (SELECT *, regexp_matches(line, '^[A-Z]') AS hit, row_number() OVER (PARTITION BY doc_id, regexp_matches(line, '^[A-Z]'), regexp_replace(line, '^\\s+|\\s+$', '', 'g') ORDER BY pos) AS nth FROM l)
-SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit OR nth = 1) AS kept FROM k WHERE doc_id IN (SELECT doc_id FROM documents WHERE {SQL_ASCII}) GROUP BY doc_id
+WITH l AS ({SQL_LINES}), k AS (SELECT *, regexp_matches(line, '^[A-Z]') AS hit, row_number() OVER (PARTITION BY doc_id, regexp_matches(line, '^[A-Z]'), regexp_replace(line, {SQL_TRIM}, '', 'g') ORDER BY pos) AS nth FROM l)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit OR nth = 1) AS kept FROM k GROUP BY doc_id
 """)
 def collapse_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where(F.col("text").rlike(ASCII)).select("doc_id", tx.joined(tx.first_of_each(tx.lines_lf("text"), "^[A-Z]")).alias("kept"))
+    return documents(spark, sf_dir).select("doc_id", tx.joined(tx.first_of_each(tx.lines_lf("text"), "^[A-Z]")).alias("kept"))
 
 
 @query(f"WITH l AS ({SQL_LINES}) SELECT doc_id, string_agg(CASE WHEN length(line) <= 80 THEN line ELSE left(line, 77) || '...' END, chr(10) ORDER BY pos) AS cut FROM l GROUP BY doc_id")
@@ -204,12 +237,12 @@ def group_by_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_signals(d) -> str:
-    return " + ".join([f"CAST(regexp_matches(text, {q(p)}) AS INTEGER)" for p in d[3]]) or "0"
+    return " + ".join([f"CAST(regexp_matches(text, {q(re2(p))}) AS INTEGER)" for p in d[3]]) or "0"
 
 
-@query("SELECT doc_id, s.command_type AS command_type, CAST(s.signals AS INTEGER) AS signals FROM (SELECT doc_id, unnest([" + ", ".join(f"{{'command_type': {q(d[0])}, 'signals': {_sql_signals(d)}}}" for d in detectors.DETECTORS if d[3]) + f"]) AS s FROM documents WHERE {SQL_ASCII}) WHERE s.signals > 0")
+@query("SELECT doc_id, s.command_type AS command_type, CAST(s.signals AS INTEGER) AS signals FROM (SELECT doc_id, unnest([" + ", ".join(f"{{'command_type': {q(d[0])}, 'signals': {_sql_signals(d)}}}" for d in detectors.DETECTORS if d[3]) + f"]) AS s FROM documents WHERE text IS NOT NULL) WHERE s.signals > 0")
 def detector_content_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where(F.col("text").rlike(ASCII)).select("doc_id", F.explode(detect.content_scores("text")).alias("s")).select("doc_id", "s.*")
+    return documents(spark, sf_dir).select("doc_id", F.explode(detect.content_scores("text")).alias("s")).select("doc_id", "s.*")
 
 
 def _sql_detect() -> str:
@@ -219,12 +252,12 @@ def _sql_detect() -> str:
         n = _sql_signals(detectors.DETECTORS[place])
         scores.append(f"CASE WHEN {hit} THEN 100 * least(100, 55 + 25 * ({n})) + {99 - place} WHEN ({n}) >= 2 THEN 100 * least(100, 25 * ({n})) + {99 - place} ELSE -1 END")
     names = ", ".join(q(d[0]) for d in detectors.DETECTORS)
-    return f"d AS (SELECT doc_id, text, {SQL_COMMAND} AS c FROM documents WHERE {SQL_ASCII}), s AS (SELECT *, greatest({', '.join(scores)}) AS best FROM d), t AS (SELECT *, CASE WHEN best < 0 THEN 'unknown' ELSE [{names}][99 - best % 100 + 1] END AS command_type, CASE WHEN best < 0 THEN 0.35 ELSE (best // 100) / 100.0 END AS confidence FROM s)"
+    return f"d AS (SELECT doc_id, text, {SQL_COMMAND} AS c FROM documents WHERE text IS NOT NULL), s AS (SELECT *, greatest({', '.join(scores)}) AS best FROM d), t AS (SELECT *, CASE WHEN best < 0 THEN 'unknown' ELSE [{names}][99 - best % 100 + 1] END AS command_type, CASE WHEN best < 0 THEN 0.35 ELSE (best // 100) / 100.0 END AS confidence FROM s)"
 
 
 @query(f"WITH {_sql_detect()} SELECT doc_id, command_type, CAST(confidence AS DOUBLE) AS confidence FROM t")
 def detect_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).where(F.col("text").rlike(ASCII)).withColumn("command", command_of())
+    d = documents(spark, sf_dir).withColumn("command", command_of())
     return detect.detected(d, "text", "command").select("doc_id", "command_type", "confidence")
 
 
@@ -240,7 +273,7 @@ def _sql_filters() -> str:
 
 @query(f"WITH {_sql_detect()} SELECT {_sql_filters()} AS filter_id, command_type, count(*) AS n FROM t GROUP BY ALL")
 def filter_match_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).where(F.col("text").rlike(ASCII)).withColumn("command", command_of())
+    d = documents(spark, sf_dir).withColumn("command", command_of())
     d = detect.detected(d, "text", "command")
     return d.groupBy(detect.filter_id(list(builtin())).alias("filter_id"), "command_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -251,15 +284,18 @@ PHRASES = ["Hello, could you please provide a detailed explanation of", "I think
 
 def _sql_condense(level: str) -> str:
     out = f"[{', '.join(map(q, PHRASES))}][CAST(turn % {len(PHRASES)} AS INTEGER) + 1] || '  ' || text"
+    # word characters outside ASCII stand between low lines, so that RE2's \b takes them for parts of words
+    out = f"regexp_replace({out}, {q(f'({RE2_WORD})')}, '_\\1_', 'g')"
     for _, pattern, to in rules("user", level):
-        out = f"regexp_replace({out}, {q(pattern)}, {q(to)}, 'g')"
-    lines = f"list_transform(string_split_regex(regexp_replace(regexp_replace({out}, ' {{2,}}', ' ', 'g'), '\\r?\\n$', ''), '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))"
-    return f"SELECT conv_id, turn, array_to_string({lines}, chr(10)) AS short FROM conversations WHERE role = 'user' AND {SQL_ASCII}"
+        out = f"regexp_replace({out}, {q(re2(pattern, edges=False))}, {q(to)}, 'g')"
+    out = f"regexp_replace({out}, {q(f'_({RE2_WORD})_')}, '\\1', 'g')"
+    lines = f"list_transform(string_split_regex(regexp_replace(regexp_replace({out}, ' {{2,}}', ' ', 'g'), '\\r?\\n$', ''), '\\r?\\n'), lambda x: regexp_replace(x, {SQL_TRIM}, '', 'g'))"
+    return f"SELECT conv_id, turn, array_to_string({lines}, chr(10)) AS short FROM conversations WHERE role = 'user' AND text IS NOT NULL"
 
 
 def _condense(level: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.col("text").rlike(ASCII))
+        c = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.col("text").isNotNull())
         front = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("turn") % len(PHRASES) + 1).cast("int"))
         return c.select("conv_id", "turn", condensed(F.concat(front, F.lit("  "), "text"), "user", level).alias("short"))
 
@@ -393,12 +429,12 @@ def timeseries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.all_series(_event_facts(spark, sf_dir))
 
 
-SQL_SAFE = f"l AS ({SQL_LINES}), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l WHERE regexp_matches(line, '\\S')), s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE before IS NULL OR before <> line) AS safe FROM k GROUP BY doc_id)"
+SQL_SAFE = f"l AS ({SQL_LINES}), k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l WHERE regexp_matches(line, {SQL_FILLED})), s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE before IS NULL OR before <> line) AS safe FROM k GROUP BY doc_id)"
 
 
-@query(f"WITH {SQL_SAFE} SELECT d.doc_id, CAST(strlen(text) AS INTEGER) AS orig_bytes, CAST(least(strlen(text), strlen(coalesce(safe, ''))) AS INTEGER) AS safe_bytes FROM documents d LEFT JOIN s USING (doc_id) WHERE {SQL_ASCII}")
+@query(f"WITH {SQL_SAFE} SELECT d.doc_id, CAST(strlen(text) AS INTEGER) AS orig_bytes, CAST(least(strlen(text), strlen(coalesce(safe, ''))) AS INTEGER) AS safe_bytes FROM documents d LEFT JOIN s USING (doc_id) WHERE text IS NOT NULL")
 def safe_clean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).where(F.col("text").rlike(ASCII))
+    d = documents(spark, sf_dir)
     return d.select("doc_id", F.octet_length("text").alias("orig_bytes"), F.least(F.octet_length("text"), F.octet_length(tx.safe_clean("text"))).alias("safe_bytes"))
 
 
