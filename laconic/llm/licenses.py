@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 GAP = 3
 WRAP = 40
 #: Each known sentence holds one of these, after lower-casing.
-NECESSARY = r"licen[sc]e|copyright|permission|redistribut|warrant|liab|public domain|spdx|provided"
+NECESSARY = r"licen[sc]e|copyright|permission|redistribut|warrant|liab|public domain|spdx|provided|reserved"
 
 # Licence sentences in public use, by identifier.
 SENTENCES = {
@@ -65,7 +65,7 @@ SENTENCES = {
     "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under CC BY-ND 4.0"],
     "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under CC BY-NC-SA 4.0"],
     "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under CC BY-NC-ND 4.0"],
-    "proprietary": ["All rights reserved under copyright", "This software is proprietary and may not be copied without permission"],
+    "proprietary": ["All rights reserved", "All rights reserved under copyright", "This software is proprietary and may not be copied without permission"],
 }
 # Names of the SPDX list that a tag line may give.
 SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0"]
@@ -73,6 +73,9 @@ SPDX = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-onl
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
+    # the header of BSD texts reserves rights too
+    ("BSD-3-Clause", ("proprietary", "bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("proprietary", "bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-named", "apache-use", "apache-copy", "apache-basis")),

@@ -38,6 +38,26 @@ def test_licence_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_planted_licence_lines(spark):
+    planted = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "All rights reserved.": "LicenseRef-proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = licenses.scan(docs).collect()
+    want = {r.doc_id: [planted[x] for x in map(str.strip, r.text.split("\n")) if x in planted] for r in rows}
+    assert sum(map(len, want.values())) == 328
+    assert {r.doc_id: [x for x in r.licenses.split(",") if x] for r in rows} == want
+
+
+def test_rights_reserved_in_a_bsd_header():
+    book = licenses.Book()
+    grants = " ".join(licenses.SENTENCES[k][0] + "." for k in ("bsd-grant", "bsd-source", "bsd-binary"))
+    named = lambda t: [x for x, _, _ in book.licenses(book.sentences(t))]
+    assert named(f"Copyright 2020 A. All rights reserved.\n{grants}") == ["BSD-2-Clause"]
+    assert named("Copyright 2020 A. All rights reserved.\nText") == ["LicenseRef-proprietary"]
+
+
 def lines_by_hand(docs, least):
     seen, out = {}, {}
     for i, t in sorted(docs):
