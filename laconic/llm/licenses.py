@@ -9,7 +9,9 @@ overlap, the earlier rule wins, at each place from left to right.
 A sentence may be wrapped over lines, so up to `WRAP` consecutive
 fragments are joined while they begin a known sentence.  The pass is
 narrow and without state; texts without any of a few necessary words skip
-the sentence work, which changes no result (every known sentence has one).
+the sentence work, which changes no result: the words are taken from the
+book in use, each known sentence holds one, and a single word can't be
+wrapped.
 
 Defined results: a null or empty text has no sentence and no licence;
 repeated rows are scanned on their own; columns of the input with the names
@@ -26,8 +28,6 @@ from pyspark.sql import functions as F
 
 GAP = 3
 WRAP = 40
-#: Each known sentence holds one of these, after lower-casing.
-NECESSARY = r"licen[sc]e|copyright|permission|redistribut|warrant|liab|public domain|spdx|provided|reserved"
 
 # Licence sentences in public use, by identifier.
 SENTENCES = {
@@ -115,6 +115,17 @@ def normal(sentence: str) -> str:
     return " ".join(_TOKEN.findall(sentence.lower()))
 
 
+def necessary(known) -> str:
+    """A pattern of single words that lower-cased texts with one of these normal sentences match; long words and those of many sentences first."""
+    left, chosen = [s.split() for s in known if s], []
+    while left:
+        words = {w for s in left for w in s if len(w) >= min(6, max(map(len, s)))}
+        word = max(words, key=lambda w: (sum(any(w in x for x in s) for s in left), len(w), w))
+        chosen.append(word)
+        left = [s for s in left if not any(word in x for x in s)]
+    return "|".join(chosen) or "(?!)"
+
+
 class Book:
     """Known sentences by their normal form, and all beginnings of them at word ends."""
 
@@ -123,6 +134,7 @@ class Book:
         self.known |= {normal(f"SPDX-License-Identifier: {x}"): f"spdx:{x}" for x in (SPDX if spdx is None else spdx)}
         self.begun = {" ".join(w[:k]) for w in map(str.split, self.known) for k in range(1, len(w))}
         self.rules = RULES if rules is None else rules
+        self.necessary = necessary(self.known)
 
     def sentences(self, text: str) -> list[str | None]:
         """The text as a sequence of sentence identifiers; None for each unknown fragment that is not empty."""
@@ -162,13 +174,17 @@ class Book:
         return out
 
 
+#: The words of the built-in book.
+NECESSARY = Book().necessary
+
+
 def scan(docs: DataFrame, text: str = "text", book: Book | None = None) -> DataFrame:
     """docs with n_known (known sentences), sentence_ids and licenses (both in order of the text, comma-joined), n_licenses."""
     book = book or Book()
     added = {"n_known": "long", "sentence_ids": "string", "licenses": "string", "n_licenses": "long"}
     docs = docs.select(*[c for c in docs.columns if c not in added])
     names = docs.columns
-    marked = docs.withColumn("_worth", F.coalesce(F.lower(text).rlike(NECESSARY), F.lit(False)))
+    marked = docs.withColumn("_worth", F.coalesce(F.lower(text).rlike(book.necessary), F.lit(False)))
 
     def run(batches):
         for batch in batches:

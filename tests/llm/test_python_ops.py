@@ -50,6 +50,18 @@ def test_planted_licence_lines(spark):
     assert {r.doc_id: [x for x in r.licenses.split(",") if x] for r in rows} == want
 
 
+def test_no_text_is_skipped_that_has_a_sentence(spark):
+    texts = ["This is free and unencumbered software\n// released into the public\n// domain.", "Released into the public\u00a0domain.", "This work is in the public-domain.", "Nothing here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert [r.sentence_ids for r in licenses.scan(df).orderBy("id").collect()] == ["unlicense", "public-domain", "public-domain", ""]
+    own = licenses.Book({"own": ["Take it and run", "Do as you like"]}, [], [("Own", ("own",))])
+    df = spark.createDataFrame([(0, "x\n# take it\n# and run."), (1, "Do  as YOU like!"), (2, "take it"), (3, None)], "id long, text string")
+    assert [r.licenses for r in licenses.scan(df, book=own).orderBy("id").collect()] == ["Own", "Own", "", ""]
+    assert [r.n_known for r in licenses.scan(df, book=licenses.Book({}, [], [])).collect()] == [0] * 4
+    for book in (licenses.Book(), own):
+        assert all(re.search(book.necessary, s) for s in book.known) and not re.search(r"[^a-z0-9|]", book.necessary)
+
+
 def test_rights_reserved_in_a_bsd_header():
     book = licenses.Book()
     grants = " ".join(licenses.SENTENCES[k][0] + "." for k in ("bsd-grant", "bsd-source", "bsd-binary"))
