@@ -7,8 +7,10 @@ fixed list by the document's id.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,19 +157,17 @@ def run_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH l AS ({SQL_LINES}), n AS (SELECT unnest([3, 4, 5, 6]) AS size),
-b AS (SELECT doc_id, pos, size, string_agg(line, chr(10)) OVER (PARTITION BY doc_id, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS ahead,
-        count(*) OVER (PARTITION BY doc_id, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM l, n),
-k AS (SELECT doc_id, pos, size, array_to_string(string_split(ahead, chr(10))[1:size], chr(10)) AS block FROM b WHERE rest >= size)
-SELECT doc_id, size, md5(block) AS block, CAST(min(pos) - 1 AS INTEGER) AS first_pos, count(*) AS n FROM k GROUP BY doc_id, size, block HAVING count(*) > 1
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), n AS (SELECT unnest(range({outputs.SHORTEST_BLOCK}, {outputs.LONGEST_BLOCK + 1})) AS size),
+k AS (SELECT doc_id, CAST(size AS INTEGER) AS size, l, unnest(range(1, len(l) - size + 2)) AS pos FROM l, n WHERE len(l) >= size),
+b AS (SELECT doc_id, size, pos, md5(array_to_string(l[pos:pos + size - 1], chr(10))) AS block FROM k)
+SELECT doc_id, size, block, CAST(min(pos) - 1 AS INTEGER) AS first_pos, count(*) AS n FROM b GROUP BY doc_id, size, block HAVING count(*) > 1
 """)
 def block_repeat_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def blocks_of(L: Column) -> Column:
-        return F.flatten(F.transform(F.array(*[F.lit(k) for k in (3, 4, 5, 6)]), lambda k: F.transform(F.filter(F.sequence(F.lit(0), F.size(L) - 1), lambda i: i + k <= F.size(L)), lambda i: F.struct(k.alias("size"), i.alias("pos"), F.md5(F.array_join(F.slice(L, i + 1, k), "\n")).alias("block")))))
+    @F.pandas_udf("array<struct<size: int, block: string, first_pos: int, n: bigint>>")
+    def blocks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"size": k, "block": hashlib.md5(b.encode("utf-8", "surrogatepass")).hexdigest(), "first_pos": i, "n": n} for k, b, i, n in outputs.repeated_blocks(t)])
 
-    blocks = tx.let(tx.lines_lf("text"), blocks_of)
-    each = documents(spark, sf_dir).select("doc_id", F.explode(blocks).alias("b")).select("doc_id", "b.*")
-    return each.groupBy("doc_id", "size", "block").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return documents(spark, sf_dir).select("doc_id", F.explode(blocks("text")).alias("b")).select("doc_id", "b.*")
 
 
 @query(f"WITH l AS ({SQL_LINES}) SELECT doc_id, CAST(count(*) FILTER (WHERE regexp_matches(line, {SQL_ERROR})) AS INTEGER) AS errors, CAST(count(*) FILTER (WHERE contains(lower(line), 'licen') OR contains(lower(line), 'ha')) AS INTEGER) AS wanted FROM l GROUP BY doc_id")

@@ -1,5 +1,7 @@
 """Queries cover every row and line of their tables, texts outside ASCII too."""
 
+import hashlib
+import random
 import re
 
 import __spark_entry__ as entry
@@ -71,3 +73,18 @@ def test_outside_ascii_by_hand(spark, small):
     assert got == {i: len(clean(t).encode()) for i, t in enumerate(TEXTS) if t is not None}
     short = {r.turn: r.short for r in QUERIES["condense_user_lite"](spark, d).where("conv_id = 0").collect()}
     assert short[0].endswith("bitte pleaseé now, a bitï , naïve database") and short[2].endswith("éin order to\nto é")
+
+
+def test_blocks_of_every_size(spark, tmp_path):
+    rng = random.Random(4)
+    part = [f"line {i}" for i in range(31)]
+    texts = ["\n".join([*part, "é", *part]), "\n".join("same" for _ in range(40)), "", "a\nb", *("\n".join(rng.choice(["a", "b", "", "ü"]) for _ in range(rng.randrange(60))) for _ in range(12))]
+    spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        for size in range(3, 31):
+            every = ["\n".join(lines[k : k + size]) for k in range(len(lines) - size + 1)]
+            want |= {(i, size, hashlib.md5(b.encode()).hexdigest(), every.index(b), every.count(b)) for b in every if every.count(b) > 1}
+    got = QUERIES["block_repeat_candidates"](spark, str(tmp_path)).select("doc_id", "size", "block", "first_pos", "n").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want and {r.size for r in got if r.doc_id == 0} == set(range(3, 31))
