@@ -63,15 +63,20 @@ def read_target(command) -> Column:
     return F.when(F.size(words) > 0, F.element_at(words, -1)).otherwise(F.substring(segment, 1, 60))
 
 
+def line_measures(text) -> Column:
+    """Struct (n, blank, twice): lines, blank ones, and those equal to the line before that aren't blank."""
+    blank = lambda x: tx.trim(x) == ""
+    twice = lambda L: F.filter(L, lambda x, i: (i > 0) & ~blank(x) & (x == tx.before(L, i)))
+    return tx.let(tx.lines_lf(text), lambda L: F.struct(F.size(L).alias("n"), F.size(F.filter(L, blank)).alias("blank"), F.size(twice(L)).alias("twice")))
+
+
 def measured(pairs: DataFrame, config: EngineConfig | None = None) -> DataFrame:
     """One row of measures for each pair (command, output)."""
     d = compressed(pairs, "output", "command", config)
     d = d.withColumn("n_keywords", F.size(commands.keywords(F.col("command"))))
     noted = F.contains("compressed", F.lit("[rtk:truncated"))
     size, small, safe = F.octet_length("output"), F.octet_length("compressed"), F.least(F.octet_length(tx.safe_clean("output")), F.octet_length("output"))
-    blank = lambda x: tx.trim(x) == ""
-    twice = lambda L: F.filter(L, lambda x, i: (i > 0) & ~blank(x) & (x == tx.before(L, i)))
-    d = d.withColumn("_lines", tx.let(tx.lines_lf("compressed"), lambda L: F.struct(F.size(L).alias("n"), F.size(F.filter(L, blank)).alias("blank"), F.size(twice(L)).alias("twice"))))
+    d = d.withColumn("_lines", line_measures("compressed"))
     return d.select(
         "command", "command_type", "filter_id", "grouped", "n_keywords", "header_tokens" if "header_tokens" in pairs.columns else F.lit(None).cast("long").alias("header_tokens"),
         noted.alias("truncated"), size.alias("orig_bytes"), small.alias("out_bytes"), safe.alias("safe_bytes"), F.col("original_tokens").alias("orig_tokens"), F.col("compressed_tokens").alias("out_tokens"),

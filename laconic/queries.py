@@ -440,20 +440,19 @@ def safe_clean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as if cut to 12,000 characters: measures whose SQL is plain."""
-    d = documents(spark, sf_dir).withColumn("command", command_of()).withColumn("out", tx.cut_chars("text", CHAR_BUDGET))
+    d = documents(spark, sf_dir).withColumn("command", command_of()).withColumn("out", tx.cut_chars("text", CHAR_BUDGET)).withColumn("lines", audit.line_measures("out"))
     kind = F.when(F.pmod("doc_id", F.lit(15)).isin(2, 8), "file-read").otherwise("unknown")
-    L = tx.lines_lf("out")
     return d.select(
-        "command", kind.alias("command_type"), F.octet_length("text").alias("orig_bytes"), F.octet_length("out").alias("out_bytes"), tx.tokens("text").alias("orig_tokens"), tx.tokens("out").alias("out_tokens"), F.size(L).alias("out_lines"),
-        F.size(F.filter(L, lambda x: ~x.rlike(r"\S"))).alias("out_blank_lines"), F.lit(0).alias("out_twice_lines"),
+        "command", kind.alias("command_type"), F.octet_length("text").alias("orig_bytes"), F.octet_length("out").alias("out_bytes"), tx.tokens("text").alias("orig_tokens"), tx.tokens("out").alias("out_tokens"), F.col("lines.n").alias("out_lines"),
+        F.col("lines.blank").alias("out_blank_lines"), F.col("lines.twice").alias("out_twice_lines"),
     )
 
 
-SQL_MEASURES = f"""o AS (SELECT doc_id, text, CASE WHEN strlen(text) <= 12000 THEN text ELSE left(left(text, 6586) || chr(10) || '[rtk:truncated by chars]' || chr(10) || CASE WHEN length(text) > 5388 THEN right(text, 5388) ELSE '' END, 12000) END AS out FROM documents WHERE text IS NOT NULL),
-m AS (SELECT {SQL_COMMAND} AS command, CASE WHEN doc_id % 15 IN (2, 8) THEN 'file-read' ELSE 'unknown' END AS command_type, strlen(text) AS orig_bytes, strlen(out) AS out_bytes, (length(text) + 3) // 4 AS orig_tokens, (length(out) + 3) // 4 AS out_tokens, len(string_split(out, chr(10))) AS out_lines, len(list_filter(string_split(out, chr(10)), lambda x: NOT regexp_matches(x, '\\S'))) AS blanks FROM o)"""
+SQL_MEASURES = f"""o AS (SELECT *, string_split(out, chr(10)) AS l FROM (SELECT doc_id, text, CASE WHEN strlen(text) <= 12000 THEN text ELSE left(left(text, 6586) || chr(10) || '[rtk:truncated by chars]' || chr(10) || CASE WHEN length(text) > 5388 THEN right(text, 5388) ELSE '' END, 12000) END AS out FROM documents WHERE text IS NOT NULL)),
+m AS (SELECT {SQL_COMMAND} AS command, CASE WHEN doc_id % 15 IN (2, 8) THEN 'file-read' ELSE 'unknown' END AS command_type, strlen(text) AS orig_bytes, strlen(out) AS out_bytes, (length(text) + 3) // 4 AS orig_tokens, (length(out) + 3) // 4 AS out_tokens, len(l) AS out_lines, len(list_filter(l, lambda x: NOT regexp_matches(x, {SQL_FILLED}))) AS blanks, len(list_filter(list_zip(l[2:], l[:-2]), lambda x: x[1] = x[2] AND regexp_matches(x[1], {SQL_FILLED}))) AS twice FROM o)"""
 
 
-@query(f"WITH {SQL_MEASURES} SELECT command_type, count(*) AS records, CAST(sum(out_tokens) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE out_bytes >= 11500) AS BIGINT) AS at_budget, CAST(count(*) FILTER (WHERE out_bytes < 11500) AS BIGINT) AS below_budget, CAST(coalesce(sum(out_tokens) FILTER (WHERE out_bytes < 11500), 0) AS BIGINT) AS below_tokens, CAST(coalesce(sum(blanks) FILTER (WHERE out_bytes < 11500), 0) AS BIGINT) AS blank_lines, CAST(0 AS BIGINT) AS twice_lines FROM m WHERE out_tokens >= 1000 AND CAST(out_bytes AS DOUBLE) / greatest(orig_bytes, 1) >= 0.9 GROUP BY command_type")
+@query(f"WITH {SQL_MEASURES} SELECT command_type, count(*) AS records, CAST(sum(out_tokens) AS BIGINT) AS tokens, CAST(count(*) FILTER (WHERE out_bytes >= 11500) AS BIGINT) AS at_budget, CAST(count(*) FILTER (WHERE out_bytes < 11500) AS BIGINT) AS below_budget, CAST(coalesce(sum(out_tokens) FILTER (WHERE out_bytes < 11500), 0) AS BIGINT) AS below_tokens, CAST(coalesce(sum(blanks) FILTER (WHERE out_bytes < 11500), 0) AS BIGINT) AS blank_lines, CAST(coalesce(sum(twice) FILTER (WHERE out_bytes < 11500), 0) AS BIGINT) AS twice_lines FROM m WHERE out_tokens >= 1000 AND CAST(out_bytes AS DOUBLE) / greatest(orig_bytes, 1) >= 0.9 GROUP BY command_type")
 def under_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.under_compressed(_measures(spark, sf_dir))
 

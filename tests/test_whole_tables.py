@@ -88,3 +88,17 @@ def test_blocks_of_every_size(spark, tmp_path):
             want |= {(i, size, hashlib.md5(b.encode()).hexdigest(), every.index(b), every.count(b)) for b in every if every.count(b) > 1}
     got = QUERIES["block_repeat_candidates"](spark, str(tmp_path)).select("doc_id", "size", "block", "first_pos", "n").collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want and {r.size for r in got if r.doc_id == 0} == set(range(3, 31))
+
+
+def test_repeated_lines_are_counted(spark, tmp_path):
+    long = ["word " * 40 + str(i % 3 // 2) for i in range(22)]
+    texts = ["\n".join([*long, "", "", "\u3000", "\u3000", "é", "é", "é"]), "\n".join(long), "a\na", "\n".join([*long, *long, *long, *long])]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.execute(ORACLE["under_compression"])
+    names, rows = [c[0] for c in found.description], QUERIES["under_compression"](spark, str(tmp_path)).collect()
+    assert plain([[r[c] for c in names] for r in rows]) == plain(found.fetchall())
+    # at least 1,000 tokens and below the budget: the first two
+    want = [sum(bool(y.strip()) and x == y for x, y in zip(v, v[1:])) for v in (t.split("\n") for t in texts[:2])]
+    assert sum(r.twice_lines for r in rows) == sum(want) == 16 and sum(r.blank_lines for r in rows) == 4
