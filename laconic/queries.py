@@ -130,10 +130,10 @@ def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", tx.strip_ansi(F.concat(esc, F.lit("[31;1m"), "text", esc, F.lit("[0m"), esc, F.lit("[?25l"))).alias("plain"))
 
 
-@query(f"SELECT doc_id, regexp_replace(CASE doc_id % 3 WHEN 0 THEN ' STDERR | ' WHEN 1 THEN 'err: ' ELSE 'error: ' END || string_split(text, chr(10))[1], {q(re2(tx.STDERR))}, '') AS line FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(CASE doc_id % 3 WHEN 0 THEN ' STDERR | ' WHEN 1 THEN 'err: ' ELSE 'error: ' END || x, {q(re2(tx.STDERR))}, '')), chr(10)) AS stripped FROM documents WHERE text IS NOT NULL")
 def stderr_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.col("doc_id") % 3 == 0, " STDERR | ").when(F.col("doc_id") % 3 == 1, "err: ").otherwise("error: ")
-    return documents(spark, sf_dir).select("doc_id", tx.strip_stderr(F.concat(head, F.substring_index("text", "\n", 1))).alias("line"))
+    return documents(spark, sf_dir).select("doc_id", tx.joined(F.transform(tx.lines_lf("text"), lambda x: tx.strip_stderr(F.concat(head, x)))).alias("stripped"))
 
 
 @query("SELECT source, strlen(text) <= 2000 AND length(text) - length(replace(text, chr(10), '')) < 30 AS is_short, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL")

@@ -102,3 +102,11 @@ def test_repeated_lines_are_counted(spark, tmp_path):
     # at least 1,000 tokens and below the budget: the first two
     want = [sum(bool(y.strip()) and x == y for x, y in zip(v, v[1:])) for v in (t.split("\n") for t in texts[:2])]
     assert sum(r.twice_lines for r in rows) == sum(want) == 16 and sum(r.blank_lines for r in rows) == 4
+
+
+def test_prefixes_of_every_line(spark, small):
+    head = [" STDERR | ", "err: ", "error: "]
+    strip = lambda x: re.sub(r"(?i)^\s*(?:stderr|err)\s*(?:\||:)\s*", "", x)
+    got = {r.doc_id: r.stripped for r in same_as_sql(spark, small, "stderr_prefix")}
+    assert got == {i: "\n".join(strip(head[i % 3] + x) for x in t.split("\n")) for i, t in enumerate(TEXTS) if t is not None}
+    assert got[2].count("\n") == TEXTS[2].count("\n") > 0
