@@ -21,7 +21,8 @@ as it has occurrences, spread by Spark's skew join.
 
 Defined results: null and empty texts have no lines and come back as they
 are, and so do rows without an id, which take no part; two rows with one id
-are the same place, so neither is later than the other; other columns are kept, and the added ones replace their namesakes.
+are the same place, so neither is later than the other at the same line, but
+runs are deleted from the text in which they were found; other columns are kept, and the added ones replace their namesakes.
 """
 
 from __future__ import annotations
@@ -55,12 +56,12 @@ def windows(counts: list[int], least: int) -> list[tuple[int, int]]:
 
 
 def _all_windows(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """(print, k1, k2, doc_id, first, last): fingerprint, 128-bit hash of the window, and its lines' numbers in the text."""
+    """(print, k1, k2, doc_id, digest, first, last): fingerprint, 128-bit hash of the window, the text's digest, and the lines' numbers in it."""
 
     def run(batches):
         for batch in batches:
-            ids, prints, k1, k2, firsts, lasts = [], [], [], [], [], []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, digests, prints, k1, k2, firsts, lasts = [], [], [], [], [], [], []
+            for i, t, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = lines_of(t or "")
                 found = windows([len(s.split()) for _, s in lines], least)
                 if not found:
@@ -70,18 +71,19 @@ def _all_windows(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFra
                 for a, b in found:
                     key = xxhash.xxh3_128_digest(b"".join(raw[a:b]))
                     ids.append(i)
+                    digests.append(digest)
                     prints.append(int(small[a:b].min()))
                     k1.append(int.from_bytes(key[:8], "little", signed=True))
                     k2.append(int.from_bytes(key[8:], "little", signed=True))
                     firsts.append(lines[a][0])
                     lasts.append(lines[b - 1][0])
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, batch.column(0).type), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())], names=["print", "k1", "k2", "doc_id", "first", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, batch.column(0).type), pa.array(digests, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())], names=["print", "k1", "k2", "doc_id", "digest", "first", "last"])
 
-    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(run, f"print long, k1 long, k2 long, doc_id {docs.schema[doc_id].dataType.simpleString()}, first long, last long")
+    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text, F.xxhash64(text)).mapInArrow(run, f"print long, k1 long, k2 long, doc_id {docs.schema[doc_id].dataType.simpleString()}, digest long, first long, last long")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, first, last): line numbers of the windows that occurred before, in an earlier place."""
+    """(doc_id, digest, first, last): text (its xxhash64) and line numbers of the windows that occurred before, in an earlier place."""
     every = materialise(_all_windows(docs, doc_id, text, min_words), "windows")
     # a filter may let more through, never fewer: the next step is exact by itself
     shared = every.groupBy("print").count().where("count > 1").select("print")
@@ -89,7 +91,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     origin = left.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.max(F.struct("doc_id", "first")).alias("final")).where("origin < final").drop("final")
     # as a table of its own, so that Spark can split the other side of a hot passage
     later = left.join(materialise(origin, "origins"), ["k1", "k2"]).where(F.struct("doc_id", "first") > F.col("origin"))
-    return later.select("doc_id", "first", "last")
+    return later.select("doc_id", "digest", "first", "last")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -99,8 +101,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")])
     names = docs.columns
-    spans = repeated_runs(docs, doc_id, text, min_words).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    joined = docs.join(spans, docs[doc_id] == spans["_id"], "left").select(*[docs[c] for c in names], "_spans")
+    spans = repeated_runs(docs, doc_id, text, min_words).groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    joined = docs.join(spans, (docs[doc_id] == spans["_id"]) & (F.xxhash64(docs[text]) == spans["_digest"]), "left").select(*[docs[c] for c in names], "_spans")
     at = names.index(text)
 
     def run(batches):

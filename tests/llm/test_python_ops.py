@@ -103,6 +103,14 @@ def test_line_dedup_by_hand(spark, seed):
     assert line_dedup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_two_texts_under_one_id(spark):
+    run = "\n".join(f"a b c d {k}" for k in range(4))
+    rows = [(1, run), (2, f"own 1\nown 2\nown 3\n{run}\nown 4"), (2, "short\ntext"), (2, "\n".join(f"other {k}" for k in range(9))), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text or "", r.n_removed) for r in line_dedup.without_repeats(df, min_words=8).collect())
+    assert got == sorted([(1, run, 0), (2, "own 1\nown 2\nown 3\nown 4", 4), (2, rows[2][1], 0), (2, rows[3][1], 0), (2, "", 0)])
+
+
 @pytest.mark.parametrize("rows", [4000, 7])
 def test_fingerprints_by_hand(spark, monkeypatch, rows):
     monkeypatch.setattr(fp, "RANGE_ROWS", rows)
