@@ -5,7 +5,8 @@ array is the sorted list of the training suffixes that can matter: those
 that begin with the hash of some benchmark window.  Every test suffix whose
 window occurs in the shard is binary-searched in it; the range found is
 compared on real bytes, so hashes only thin the array and never decide.
-Matches are then extended to the longest verbatim run.
+Matches are not extended beyond a window: `longest_run` counts neighbouring
+hit words, and joins hits of different items into one run.
 
 The pass is narrow: documents are neither shuffled nor collected, and the
 benchmark travels as blocks of a checked size (one pass over the documents
