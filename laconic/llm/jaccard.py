@@ -15,16 +15,20 @@ each one of its tokens) and e are compared as they are:
   first: those are the selective ones, empty and common ones are skipped.
 
 d and e come from a cost model (`allocate`): keys written against expected
-collisions.  Shared keys give candidates, verified on the words themselves.
+collisions.  With its weights, sets of 4 to 31 shingles (at 80 %: 4 to 51)
+get deletion segments; above, d is 0 and the join is one of plain segments.  Shared keys give candidates, verified on the words themselves.
 
 Skew.  Equal sets collapse to one representative first.  A bucket of at
 most `SMALL` members gives its pairs; a larger one gives a star around its
 first member.  After those links are known, only members of such buckets
-that are still in different components are compared, in blocks of bounded
-size: first each component with its nearest one, as often as that brings
-links, then all that is left.  Before any text moves, parity sketches drop the
-pairs that differ in more than H places.  Links and components stay
-distributed throughout.
+that are outside its largest component are compared, in pairs of blocks of
+bounded size, each a task's group of its own: first each component with its
+nearest one, as often as that brings links, then all that is left.  Before
+any text moves, parity sketches drop the pairs that differ in more than H
+places; with two places for a token or more, that leaves pairs of, in
+expectation, at most 1.09 * H differences, so the last pass writes a row only for pairs at
+most that little below the threshold.  Links and components stay distributed
+throughout.
 
 Defined results: null or wordless texts have an empty set and are linked
 with nothing; a text of fewer words than a shingle has its whole sequence
@@ -282,8 +286,8 @@ def plausible(pairs: DataFrame, p: int, q: int) -> DataFrame:
 
 #: Rounds in which each component of a large bucket only meets its nearest one, before all that is left is compared.
 ROUNDS = 3
-#: Rows of one side that a task of the block comparison holds.
-BLOCK = 2048
+#: Rows of one side of a pair of blocks, least and most (between them: a sixteenth of the bucket), and most bytes of its sketches.
+LEAST_BLOCK, BLOCK, BLOCK_BYTES = 256, 2048, 32 << 20
 
 
 def _across(frame: pd.DataFrame, p: int, q: int, closest: bool) -> pd.DataFrame:
@@ -343,14 +347,29 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
 
 
 def _between(rows: DataFrame, labels: DataFrame, p: int, q: int, closest: bool) -> DataFrame:
-    """Plausible pairs (a, b) of different components within the large buckets `rows` (key, a, whole, n, sketch)."""
+    """Plausible pairs (a, b) of different components within the large buckets `rows` (key, a, whole, n, sketch).
+
+    Only members outside a bucket's largest component are compared: with
+    that component and with each other.  Both sides are cut into blocks,
+    and each pair of blocks is a group of its own, dealt by all three of
+    (key, lo, hi): one hot bucket is spread over as many tasks as it has
+    pairs of blocks.
+    """
     known = rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
-    mixed = known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = known.join(mixed, "key").withColumn("block", F.pmod(F.hash("a"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+    parts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("sketch")).alias("wide"))
+    cuts = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("inside"), F.sum("k").alias("m"), F.max("wide").alias("wide")).where("m > inside")
+    # the size of a block follows from the bucket's, and from what its sketches take
+    cuts = cuts.withColumn("size", F.greatest(F.lit(16), F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("m") / 16)), F.lit(BLOCK), F.floor(BLOCK_BYTES / F.col("wide")))))
+    cuts = cuts.select("key", "main", F.ceil((F.col("m") - F.col("inside")) / F.col("size")).cast("int").alias("outer"), F.ceil(F.col("inside") / F.col("size")).cast("int").alias("inner"))
+    # as a table of its own: Spark knows its size, and may split a hot key of the other side
+    dealt = known.join(materialise(cuts, "cuts"), "key").withColumn("_in", F.col("c") == F.col("main"))
+    place = F.xxhash64("a")
+    dealt = dealt.withColumn("block", F.when(F.col("_in"), F.col("outer") + F.pmod(place, F.col("inner"))).otherwise(F.pmod(place, F.col("outer"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("_in"), 0).otherwise(F.col("inner")))))
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "main", "outer", "inner", "_in")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["a"].dataType.simpleString()
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q, closest), f"a {kind}, b {kind}")
+    return dealt.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q, closest), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -81,3 +81,28 @@ def test_empty_table_and_clashing_columns(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard.near_duplicates(df, n=4, percent=85).collect()) == [(1, 1), (1, 1), (7, 1)]
     assert jaccard.near_duplicates(df.limit(0), n=4, percent=85).count() == 0
     assert [r.doc_id for r in jaccard.keep_one(df).collect()] == [1]
+
+
+def test_blocks_of_a_hot_bucket_are_dealt_by_themselves(spark):
+    rows = spark.createDataFrame([(1, i, True, 8, jaccard.sketch(np.arange(8, dtype=np.uint64) + np.uint64(i % 2))) for i in range(40)], "key long, a long, whole boolean, n long, sketch binary")
+    labels = spark.createDataFrame([(i, 0) for i in range(30)], "node long, component long")
+    found = jaccard._between(rows, labels, 85, 100, False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and "REPARTITION_BY_NUM" in plan and plan.index("FlatMapGroupsInPandas") < plan.index("REPARTITION_BY_NUM")
+    want = {tuple(sorted((i, j))) for i in range(30, 40) for j in range(40) if i != j and i % 2 == j % 2}
+    assert {tuple(sorted(r)) for r in found.collect()} == want
+
+
+def test_many_unlinked_members_of_large_buckets(spark, monkeypatch):
+    # a common passage and tails of their own: below the threshold, some linked in chains
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    monkeypatch.setattr(jaccard, "LEAST_BLOCK", 16)
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(60)]
+    docs = []
+    for i in range(150):
+        tail = [f"t{i // rng.choice([1, 2])}x{k}" for k in range(rng.choice([6, 8, 10, 12, 14]))]
+        docs.append((i, " ".join(passage + tail)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, n=4, percent=85).collect()}
+    assert got == brute(docs, 4, 85)
