@@ -121,17 +121,18 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 ORACLE["op9_decontamination"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
-b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
-bw AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
-win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM bw),
+b AS (SELECT row_number() OVER () AS r, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+win AS (SELECT r, item, k, j, array_to_string(w[j:j + k - 1], ' ') AS win FROM (SELECT r, item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM b WHERE len(w) > 0)),
 dk AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
-hit AS (SELECT doc_id, item, i, dk.k FROM dk JOIN win ON dk.k = win.k AND array_to_string(w[i:i + dk.k - 1], ' ') = win.win),
+hit AS (SELECT doc_id, r, item, i, j, dk.k FROM dk JOIN win ON dk.k = win.k AND array_to_string(w[i:i + dk.k - 1], ' ') = win.win),
 pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit),
-isl AS (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM pos),
-run AS (SELECT doc_id, max(n) AS longest_run, CAST(sum(n) AS BIGINT) AS n_hit FROM (SELECT doc_id, g, count(*) AS n FROM isl GROUP BY ALL) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(longest_run, 0) AS longest_run, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN run USING (doc_id) LEFT JOIN it USING (doc_id)
+run AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS g FROM hit),
+mat AS (SELECT doc_id, item, min(i) - 1 AS at, min(j) - 1 AS there, count(*) + any_value(k) - 1 AS n FROM isl GROUP BY doc_id, r, item, i - j, g),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item, there) AS nth FROM mat)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) AS longest_match, at AS match_start, top.item AS match_item, there AS match_at, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN run USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN top ON d.doc_id = top.doc_id AND nth = 1
 """
 
 ORACLE["op8_jaccard_join"] = f"""
