@@ -6,14 +6,15 @@ has at least `min_words` words.  Every window selects its smallest line
 hash: windows with equal lines select the same one, so a repeated run of
 that many words is certain to share a fingerprint.
 
-1. Fingerprints are counted, summed before the shuffle; those that occur
-   more than once go into a filter of fixed size, and windows whose
-   fingerprint isn't in it are done with.
-2. The positions left are joined by the hash of the whole window with its
-   first occurrence (smallest id, then line).
-3. Matches are extended both ways: overlapping windows that occurred before
-   join into maximal runs, which are deleted from all but the place where
-   they came first.
+1. Each text gives its selected positions, one row for each change of the
+   minimum, with the lines around it that its windows reach.
+2. Positions whose fingerprint occurs only once are done with; the others
+   are joined by fingerprint, and their windows, each known by a hash of all
+   its lines, meet their first occurrence (smallest id, then line).
+3. Matches are extended both ways, line by line: the next line belongs to a
+   run if the shortest window that ends (or begins) with it occurred before,
+   too.  What such runs cover is deleted from all but the place where it came
+   first.
 
 Nothing pairs the members of a group: each occurrence meets the first one
 only, so a passage that a third of all documents share costs as many rows
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laconic.llm.common import holding, materialise
+from laconic.llm.common import materialise
 
 MIN_WORDS = 50
 
@@ -55,39 +56,65 @@ def windows(counts: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(found | {(int(f), j + 1) for j, f in enumerate(first) if f >= 0 and total[j + 1] >= least})
 
 
-def _all_windows(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
-    """(print, k1, k2, doc_id, digest, first, last): fingerprint, 128-bit hash of the window, the text's digest, and the lines' numbers in it."""
+def selected(found: list[tuple[int, int]], hashes: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(position, its windows): each window selects its smallest line hash, the first one if it is repeated; windows ascend, so a position's are neighbours."""
+    out: list[tuple[int, list[tuple[int, int]]]] = []
+    for a, b in found:
+        at = a + int(hashes[a:b].argmin())
+        if not out or out[-1][0] != at:
+            out.append((at, []))
+        out[-1][1].append((a, b))
+    return out
+
+
+def _positions(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
+    """(print, doc_id, digest, lines, numbers, spans): fingerprint, the text's digest; hashes and numbers of the lines from the first to the last that its windows reach, and the windows as pairs of places in them."""
 
     def run(batches):
         for batch in batches:
-            ids, digests, prints, k1, k2, firsts, lasts = [], [], [], [], [], [], []
+            rows = []
             for i, t, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 lines = lines_of(t or "")
                 found = windows([len(s.split()) for _, s in lines], least)
                 if not found:
                     continue
-                raw = [xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for _, s in lines]
-                small = np.array([int.from_bytes(x[:8], "little", signed=True) for x in raw], np.int64)
-                for a, b in found:
-                    key = xxhash.xxh3_128_digest(b"".join(raw[a:b]))
-                    ids.append(i)
-                    digests.append(digest)
-                    prints.append(int(small[a:b].min()))
-                    k1.append(int.from_bytes(key[:8], "little", signed=True))
-                    k2.append(int.from_bytes(key[8:], "little", signed=True))
-                    firsts.append(lines[a][0])
-                    lasts.append(lines[b - 1][0])
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(ids, batch.column(0).type), pa.array(digests, pa.int64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())], names=["print", "k1", "k2", "doc_id", "digest", "first", "last"])
-
-    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text, F.xxhash64(text)).mapInArrow(run, f"print long, k1 long, k2 long, doc_id {docs.schema[doc_id].dataType.simpleString()}, digest long, first long, last long")
+                hashes = np.array([xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) for _, s in lines], np.uint64).view(np.int64)
+                numbers = np.array([k for k, _ in lines], np.int32)
+                for at, its in selected(found, hashes):
+                    a, b = its[0][0], its[-1][1]
+                    rows.append((int(hashes[at]), i, digest, hashes[a:b].tobytes(), numbers[a:b].tobytes(), (np.array(its, np.int32) - a).tobytes()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = (pa.int64(), batch.column(0).type, pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["print", "doc_id", "digest", "lines", "numbers", "spans"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.where(F.col(doc_id).isNotNull()).select(doc_id, text, F.xxhash64(text)).mapInArrow(run, f"print long, doc_id {kind}, digest long, lines binary, numbers binary, spans binary")
+
+
+def _windows(positions: DataFrame) -> DataFrame:
+    """(k1, k2, doc_id, digest, first, last): the windows of positions, each with a 128-bit hash of its lines and its lines' numbers."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, digest, lines, numbers, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = np.frombuffer(numbers, np.int32)
+                for a, b in np.frombuffer(spans, np.int32).reshape(-1, 2).tolist():
+                    key = xxhash.xxh3_128_digest(lines[8 * a : 8 * b])
+                    rows.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), i, digest, int(n[a]), int(n[b - 1])))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), batch.column(0).type, pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["k1", "k2", "doc_id", "digest", "first", "last"])
+
+    kind = positions.schema["doc_id"].dataType.simpleString()
+    return positions.select("doc_id", "digest", "lines", "numbers", "spans").mapInArrow(run, f"k1 long, k2 long, doc_id {kind}, digest long, first long, last long")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, digest, first, last): text (its xxhash64) and line numbers of the windows that occurred before, in an earlier place."""
-    every = materialise(_all_windows(docs, doc_id, text, min_words), "windows")
-    # a filter may let more through, never fewer: the next step is exact by itself
-    shared = every.groupBy("print").count().where("count > 1").select("print")
-    left = holding(every, shared, "print")
+    positions = materialise(_positions(docs, doc_id, text, min_words), "positions")
+    shared = materialise(positions.groupBy("print").count().where("count > 1").select("print"), "shared")
+    left = materialise(_windows(positions.join(shared, "print", "left_semi")), "windows")
     origin = left.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.max(F.struct("doc_id", "first")).alias("final")).where("origin < final").drop("final")
     # as a table of its own, so that Spark can split the other side of a hot passage
     later = left.join(materialise(origin, "origins"), ["k1", "k2"]).where(F.struct("doc_id", "first") > F.col("origin"))

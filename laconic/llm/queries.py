@@ -129,9 +129,9 @@ pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM hit),
 run AS (SELECT doc_id, count(*) AS n_hit FROM pos GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
 isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, r, i - j ORDER BY i) AS g FROM hit),
-mat AS (SELECT doc_id, item, min(i) - 1 AS at, min(j) - 1 AS there, count(*) + any_value(k) - 1 AS n FROM isl GROUP BY doc_id, r, item, i - j, g),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, at, item, there) AS nth FROM mat)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) AS longest_match, at AS match_start, top.item AS match_item, there AS match_at, n_hit IS NOT NULL AS contaminated
+mat AS (SELECT doc_id, item, min(i) - 1 AS p, min(j) - 1 AS there, count(*) + any_value(k) - 1 AS n FROM isl GROUP BY doc_id, r, item, i - j, g),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, p, item, there) AS nth FROM mat)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) AS longest_match, p AS match_start, top.item AS match_item, there AS match_at, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN run USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN top ON d.doc_id = top.doc_id AND nth = 1
 """
 
@@ -145,3 +145,19 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(seen) FROM r WHERE node = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)
 """
+
+#: White space of Unicode, as str.strip and str.split take it.
+_BLANK = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+ORACLE["op4_line_dedup"] = f"""
+WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text <> ''),
+l AS (SELECT *, regexp_replace(line, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS s FROM x),
+t AS (SELECT doc_id, pos, s, len(regexp_extract_all(s, '[^{_BLANK}]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, sum(len(regexp_extract_all(s, '[^{_BLANK}]+'))) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS total FROM l WHERE s <> ''),
+p AS (SELECT a.doc_id, a.k AS f, b.k AS e FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.k >= a.k AND b.total - a.total + a.n >= 50),
+w AS (SELECT doc_id, f, min(e) AS e FROM p GROUP BY doc_id, f UNION SELECT doc_id, max(f), e FROM p GROUP BY doc_id, e),
+v AS (SELECT w.doc_id, f, e, min(pos) AS first, string_agg(s, chr(10) ORDER BY k) AS body FROM w JOIN t ON w.doc_id = t.doc_id AND k BETWEEN f AND e GROUP BY w.doc_id, f, e),
+o AS (SELECT *, min({{'d': doc_id, 'p': first}}) OVER (PARTITION BY body) AS origin FROM v),
+g AS (SELECT DISTINCT t.doc_id, t.pos FROM o JOIN t ON o.doc_id = t.doc_id AND k BETWEEN f AND e WHERE {{'d': o.doc_id, 'p': first}} > origin),
+r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS left_over FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(left_over, text) AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN r USING (doc_id)
+"""

@@ -88,7 +88,7 @@ def lines_by_hand(docs, least):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_line_dedup_by_hand(spark, seed):
     rng = random.Random(seed)
-    pool = [" ".join(rng.choice("abcde") for _ in range(rng.choice([1, 2, 4, 12]))) for _ in range(6)]
+    pool = [" ".join(rng.choice(["a", "b", "Ä\u3000é", "\x1cd", "日本"]) for _ in range(rng.choice([1, 2, 4, 12]))) for _ in range(6)]
     docs = [(i, "\n".join(rng.choice([*pool, "", f"own {i} {k}"]) for k in range(rng.randrange(25)))) for i in range(40)] + [(90, None), (91, ""), (92, "a b " * 30)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_lines int").repartition(4)
     want = lines_by_hand(docs, 8)
@@ -103,6 +103,17 @@ def test_line_dedup_by_hand(spark, seed):
     assert line_dedup.without_repeats(df.limit(0)).count() == 0
 
 
+def test_selected_minima():
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = [rng.randrange(1, 9) for _ in range(rng.randrange(1, 20))]
+        hashes = np.array([rng.randrange(6) for _ in counts], np.int64)
+        found = line_dedup.windows(counts, 10)
+        got = line_dedup.selected(found, hashes)
+        assert [w for _, its in got for w in its] == found and all(x < y for (x, _), (y, _) in zip(got, got[1:], strict=False))
+        assert all(hashes[at] == hashes[a:b].min() and at == a + hashes[a:b].tolist().index(hashes[a:b].min()) for at, its in got for a, b in its)
+
+
 def test_line_dedup_of_two_texts_under_one_id(spark):
     run = "\n".join(f"a b c d {k}" for k in range(4))
     rows = [(1, run), (2, f"own 1\nown 2\nown 3\n{run}\nown 4"), (2, "short\ntext"), (2, "\n".join(f"other {k}" for k in range(9))), (2, None)]
