@@ -20,14 +20,16 @@ get deletion segments; above, d is 0 and the join is one of plain segments.  Sha
 
 Skew.  Equal sets collapse to one representative first.  A bucket of at
 most `SMALL` members gives its pairs; a larger one gives a star around its
-first member.  After those links are known, only members of such buckets
-that are outside its largest component are compared, in pairs of blocks of
-bounded size, each a task's group of its own: first each component with its
-nearest one, as often as that brings links, then all that is left.  Before
-any text moves, parity sketches drop the pairs that differ in more than H
-places; with two places for a token or more, that leaves pairs of, in
-expectation, at most 1.09 * H differences, so the last pass writes a row only for pairs at
-most that little below the threshold.  Links and components stay distributed
+first member.  Then, in a few rounds, members of large buckets that still
+hold several components each meet some pivots of their bucket, and the
+nearest one becomes a candidate: that links dense groups at a cost that
+grows with the rows.  Last, the members that are still outside the largest
+component of a bucket are compared with all others of it, in pairs of blocks
+of bounded size, each of them a group of its own.  Before any text moves,
+parity sketches drop the pairs that differ in more than H places; with two
+places for a token or more, that leaves pairs of, in expectation, at most
+1.09 * H differences, so the last pass writes rows only for pairs at most
+that little below the threshold.  Links and components stay distributed
 throughout.
 
 Defined results: null or wordless texts have an empty set and are linked
@@ -284,14 +286,14 @@ def plausible(pairs: DataFrame, p: int, q: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-#: Rounds in which each component of a large bucket only meets its nearest one, before all that is left is compared.
-ROUNDS = 3
-#: Rows of one side of a pair of blocks, least and most (between them: a sixteenth of the bucket), and most bytes of its sketches.
+#: Rounds in which members of a large bucket only meet its pivots, and pivots of each side, before all that is left is compared.
+ROUNDS, PIVOTS = 3, 2
+#: Rows of one side of a pair of blocks, least and most (between them: a quarter of the bucket), and most bytes of its sketches.
 LEAST_BLOCK, BLOCK, BLOCK_BYTES = 256, 2048, 32 << 20
 
 
-def _across(frame: pd.DataFrame, p: int, q: int, closest: bool) -> pd.DataFrame:
-    """Plausible pairs between two blocks of a large bucket whose members are in different components; closest: one for each component, its nearest."""
+def _across(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
+    """Plausible pairs between two blocks of a large bucket whose members are in different components."""
     i, j = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
     x, y = (frame[frame["block"] == k] for k in (i, j))
     size = min(frame["sketch"].map(len))
@@ -301,16 +303,10 @@ def _across(frame: pd.DataFrame, p: int, q: int, closest: bool) -> pd.DataFrame:
         s = slice(at, at + 32)
         ok = (cx[s, None] != cy) & (wx[s, None] | wy) & (np.minimum(nx[s, None], ny) * q >= np.maximum(nx[s, None], ny) * p)
         r, c = np.nonzero(ok)
-        apart = np.bitwise_count(sx[s][r] ^ sy[c]).sum(1, dtype=np.int64)
-        good = apart <= (nx[s][r] + ny[c]) * (q - p) // (q + p)
-        out.append((r[good] + at, c[good], apart[good]))
-    r, c, apart = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
-    pairs = pd.DataFrame({"a": x["a"].to_numpy()[r], "b": y["a"].to_numpy()[c]})
-    if closest and len(pairs):
-        ends = pd.DataFrame({"of": np.concatenate((cx[r], cy[c])), "apart": np.tile(apart, 2), "at": np.tile(np.arange(len(r)), 2)})
-        nearest = ends.sort_values(["apart", "at"], kind="stable").drop_duplicates("of")["at"].unique()
-        pairs = pairs.iloc[nearest]
-    return pairs
+        good = np.bitwise_count(sx[s][r] ^ sy[c]).sum(1, dtype=np.int64) <= (nx[s][r] + ny[c]) * (q - p) // (q + p)
+        out.append((r[good] + at, c[good]))
+    r, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
+    return pd.DataFrame({"a": x["a"].to_numpy()[r], "b": y["a"].to_numpy()[c]})
 
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -346,8 +342,52 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _between(rows: DataFrame, labels: DataFrame, p: int, q: int, closest: bool) -> DataFrame:
-    """Plausible pairs (a, b) of different components within the large buckets `rows` (key, a, whole, n, sketch).
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, a, whole, n, sketch) of the buckets with several components; c: a member's, inner: whether it is the bucket's largest; m, inside, wide: the bucket's members, those inside, its widest sketch."""
+    known = rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    parts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("sketch")).alias("wide"))
+    cuts = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("inside"), F.sum("k").alias("m"), F.max("wide").alias("wide")).where("m > inside")
+    # as a table of its own: Spark knows its size, and may split a hot key of the other side
+    return materialise(known.join(materialise(cuts, "cuts"), "key").withColumn("inner", F.col("c") == F.col("main")).drop("main"), "mixed")
+
+
+def _near_pivots(mixed: DataFrame, number: int, p: int, q: int) -> DataFrame:
+    """Plausible pairs (a, b): each member with the nearest pivot of another component in any of its buckets.
+
+    Pivots are picked by a hash, from inside and outside the largest
+    component; every row only meets its bucket's pivots, so the work grows
+    with the rows, and no bucket has to be in one place.
+    """
+    pick = lambda k, side: F.min(F.when(side, F.struct(F.xxhash64("a", F.lit(number * PIVOTS + k)).alias("h"), "a", "n", "c", "whole", "sketch")))
+    pivots = mixed.groupBy("key").agg(F.array_compact(F.array(*[pick(k, side) for k in range(PIVOTS) for side in (F.col("inner"), ~F.col("inner"))])).alias("pivots"))
+    met = mixed.join(materialise(pivots, "pivots"), "key")
+    far = lambda s: (s["c"] != F.col("c")) & (s["whole"] | F.col("whole")) & (F.least(s["n"], F.col("n")) * q >= F.greatest(s["n"], F.col("n")) * p)
+    met = met.select("a", "n", "sketch", F.filter("pivots", far).alias("pivots")).where(F.size("pivots") > 0)
+    met = met.withColumn("most", F.transform("pivots", lambda s: F.expr("n") + s["n"])).select("a", "sketch", "most", F.transform("pivots", lambda s: s["a"]).alias("b"), F.transform("pivots", lambda s: s["sketch"]).alias("there"))
+
+    def run(batches):
+        for batch in batches:
+            a, b, apart = [], [], []
+            for x, s, sums, others, there in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                best = None
+                for n, y, t in zip(sums, others, there, strict=True):
+                    u, v = _words([s, t], min(len(s), len(t)))
+                    d = int(np.bitwise_count(u ^ v).sum())
+                    if d <= n * (q - p) // (q + p) and (best is None or (d, y) < best):
+                        best = d, y
+                if best:
+                    a.append(x)
+                    b.append(best[1])
+                    apart.append(best[0])
+            kind = batch.column(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind), pa.array(apart, pa.int64())], names=["a", "b", "apart"])
+
+    kind = mixed.schema["a"].dataType.simpleString()
+    return met.mapInArrow(run, f"a {kind}, b {kind}, apart long").groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+
+
+def _between(mixed: DataFrame, p: int, q: int) -> DataFrame:
+    """All plausible pairs (a, b) of different components within the buckets.
 
     Only members outside a bucket's largest component are compared: with
     that component and with each other.  Both sides are cut into blocks,
@@ -355,21 +395,17 @@ def _between(rows: DataFrame, labels: DataFrame, p: int, q: int, closest: bool)
     (key, lo, hi): one hot bucket is spread over as many tasks as it has
     pairs of blocks.
     """
-    known = rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
-    parts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("sketch")).alias("wide"))
-    cuts = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("inside"), F.sum("k").alias("m"), F.max("wide").alias("wide")).where("m > inside")
     # the size of a block follows from the bucket's, and from what its sketches take
-    cuts = cuts.withColumn("size", F.greatest(F.lit(16), F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("m") / 16)), F.lit(BLOCK), F.floor(BLOCK_BYTES / F.col("wide")))))
-    cuts = cuts.select("key", "main", F.ceil((F.col("m") - F.col("inside")) / F.col("size")).cast("int").alias("outer"), F.ceil(F.col("inside") / F.col("size")).cast("int").alias("inner"))
-    # as a table of its own: Spark knows its size, and may split a hot key of the other side
-    dealt = known.join(materialise(cuts, "cuts"), "key").withColumn("_in", F.col("c") == F.col("main"))
+    size = F.greatest(F.lit(16), F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("m") / 4)), F.lit(BLOCK), F.floor(BLOCK_BYTES / F.col("wide"))))
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    dealt = mixed.withColumns({"outside": blocks(F.col("m") - F.col("inside")), "blocks": blocks(F.col("inside"))})
     place = F.xxhash64("a")
-    dealt = dealt.withColumn("block", F.when(F.col("_in"), F.col("outer") + F.pmod(place, F.col("inner"))).otherwise(F.pmod(place, F.col("outer"))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("_in"), 0).otherwise(F.col("inner")))))
-    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "main", "outer", "inner", "_in")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = rows.schema["a"].dataType.simpleString()
-    return dealt.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q, closest), f"a {kind}, b {kind}")
+    dealt = dealt.withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(place, F.col("blocks"))).otherwise(F.pmod(place, F.col("outside"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outside") - 1 + F.when(F.col("inner"), 0).otherwise(F.col("blocks")))))
+    dealt = dealt.select("key", "a", "whole", "n", "sketch", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    tasks = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = mixed.schema["a"].dataType.simpleString()
+    return dealt.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -396,18 +432,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not large.isEmpty():
         rows = large.select("key", "a", "whole").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"))
         rows = materialise(rows, "large")
-        tried, closest = pairs, ROUNDS
-        while True:
-            rest = materialise(ordered(_between(rows, labels, p, q, closest > 0)).join(tried, ["a", "b"], "left_anti"), "rest")
-            fresh = None if rest.isEmpty() else materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
-            if fresh is not None and not fresh.isEmpty():
+        tried = pairs
+        for number in range(ROUNDS + 1):
+            mixed = _mixed(rows, labels)
+            near = _near_pivots(mixed, number, p, q) if number < ROUNDS else _between(mixed, p, q)
+            rest = materialise(ordered(near).join(tried, ["a", "b"], "left_anti"), "rest")
+            if rest.isEmpty():
+                continue
+            fresh = materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
+            if not fresh.isEmpty():
                 links = links.union(fresh)
                 labels = components(links)
-            elif closest > 0:
-                closest = 1  # nearest pairs bring nothing new: compare all that is left
-            if closest == 0:
-                break
-            tried, closest = tried.union(rest), closest - 1
+            tried = tried.union(rest)
     # as a table of its own, so that Spark can split a digest that very many rows share
     named = materialise(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
     return base.drop("sketch").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

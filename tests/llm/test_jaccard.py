@@ -86,11 +86,14 @@ def test_empty_table_and_clashing_columns(spark):
 def test_blocks_of_a_hot_bucket_are_dealt_by_themselves(spark):
     rows = spark.createDataFrame([(1, i, True, 8, jaccard.sketch(np.arange(8, dtype=np.uint64) + np.uint64(i % 2))) for i in range(40)], "key long, a long, whole boolean, n long, sketch binary")
     labels = spark.createDataFrame([(i, 0) for i in range(30)], "node long, component long")
-    found = jaccard._between(rows, labels, 85, 100, False)
+    mixed = jaccard._mixed(rows, labels)
+    found = jaccard._between(mixed, 85, 100)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(key" in plan and "REPARTITION_BY_NUM" in plan and plan.index("FlatMapGroupsInPandas") < plan.index("REPARTITION_BY_NUM")
+    assert re.search(r"FlatMapGroupsInPandas[\s\S]*Exchange hashpartitioning\(key#\d+L?, lo#\d+, hi#\d+, \d+\), REPARTITION_BY_NUM", plan)
     want = {tuple(sorted((i, j))) for i in range(30, 40) for j in range(40) if i != j and i % 2 == j % 2}
     assert {tuple(sorted(r)) for r in found.collect()} == want
+    near = jaccard._near_pivots(mixed, 0, 85, 100).collect()
+    assert len({r.a for r in near}) == len(near) > 20 and {tuple(sorted(r)) for r in near} <= want
 
 
 def test_many_unlinked_members_of_large_buckets(spark, monkeypatch):
