@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Learning counts the hashed 1- to 4-grams of a bounded, documented sample of
-labelled texts (`PER_LANGUAGE` for each language, chosen by a hash of the
-id); partial counts are summed before they are shuffled, and the finished
+labelled texts (`PER_LANGUAGE` for each language, chosen by a hash of id and
+text); partial counts are summed before they are shuffled, and the finished
 matrix has languages * 2**BITS floats, whatever the corpus.  At most
 `MAX_LANGUAGES` values are accepted, so its broadcast is bounded.
 
@@ -94,7 +94,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     if not languages:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int((1 << 30) * min(1.0, per_language / sizes[k]))))])
-    rows = known.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(11)), F.lit(1 << 30)) < share[F.col(lang)])
+    # by id and text, so that one repeated id isn't taken as a whole or not at all
+    rows = known.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(11)), F.lit(1 << 30)) < share[F.col(lang)])
     index = {k: i for i, k in enumerate(languages)}
 
     def count(batches):
@@ -112,8 +113,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), i)), pa.array(used), pa.array(counts[i, used])], names=["l", "bucket", "n"])
 
     counts = np.full((len(languages), 1 << BITS), SMOOTHING)
-    for r in rows.select(text, lang).mapInArrow(count, "l long, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r.l, r.bucket] += r.n
+    found = rows.select(text, lang).mapInArrow(count, "l long, bucket long, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    label, bucket, n = (c.to_numpy() for c in found.columns)  # at most languages * 2**BITS rows of numbers
+    counts[label, bucket] += n
     logs = np.log(counts / counts.sum(1, keepdims=True))
     total = np.array([sizes[k] for k in languages], float)
     return Model(languages, logs.astype(np.float32), np.log(total / total.sum()))
