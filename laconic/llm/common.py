@@ -18,12 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has written, by session.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's own, or one that is set here where none is (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir() or ""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Only a local session without either gets one of its own (tests); on a
+    cluster a machine's folder would lose what other machines write, so
+    there it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="laconic-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -33,58 +42,63 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
     Later readers neither recompute it nor depend on the executor that made
-    it.  Columns and types are those of df.
+    it.  Columns and types are those of df.  `discard` deletes what has been
+    written, once its results have been read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/laconic-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session; DataFrames made from them can't be read any more. Returns their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def remainder(doc_id: str, n: int):
     """crc32 of the id as text, mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
 
 
-#: Bits of the filters that spare a shuffle rows without a partner.
-BLOOM_BITS = 23
+#: Bits of a filter for each value, and the sizes of filters (powers of two): beyond the largest there is none.
+BITS_A_VALUE, LEAST_BITS, MOST_BITS = 16, 20, 27
 
 
-def bloom(values: DataFrame) -> np.ndarray:
-    """A filter of 2**BLOOM_BITS bits that holds the rows' single column, gathered as at most 2**(BLOOM_BITS - 6) words.
+def bloom(values: DataFrame) -> np.ndarray | None:
+    """A filter of bits that holds the rows' single column, or None for more than 2**MOST_BITS / 4 values.
 
-    It has one size for any input; the more values, the more others pass.
+    It spares a shuffle rows without a partner, and grows with the number of
+    values (up to 16 MB), so about one other in 16 passes, and at most one in
+    five.  It is gathered as columns of 64-bit words.
     """
-    place = F.shiftrightunsigned(F.xxhash64(values.columns[0]), 64 - BLOOM_BITS)
+    column = values.columns[0]
+    n = values.count()
+    if n * 4 > 1 << MOST_BITS:
+        return None
+    size = min(MOST_BITS, max(LEAST_BITS, (n * BITS_A_VALUE - 1).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64(column), 64 - size)
     words = values.select(place.alias("p")).select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        for k in range(64):
-            if r.b >> k & 1:
-                bits[(r.w << 6) + k] = True
-    return bits
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(1 << (size - 6), np.int64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
-def may_hold(spark: SparkSession, bits: np.ndarray, column):
-    """Condition: the column's value may be in the filter. Only its hash goes to Python."""
-    held = spark.sparkContext.broadcast(bits)
+def may_hold(spark: SparkSession, bits: np.ndarray | None, column):
+    """Condition: the column's value may be in the filter (without one: any value may). Only its hash goes to Python."""
+    if bits is None:
+        return F.lit(True)
+    held, shift = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little")), np.uint64(65 - len(bits).bit_length())
 
     @F.pandas_udf("boolean")
     def look(h: pd.Series) -> pd.Series:
-        return pd.Series(held.value[(h.to_numpy().view(np.uint64) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)])
+        at = (h.to_numpy().view(np.uint64) >> shift).astype(np.int64)
+        return pd.Series(held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)
 
     return look(F.xxhash64(column))
-
-
-def holding(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
-    """The rows of df whose column may be among the values' single column, without Python.
-
-    The same filter as bloom(), as a table of at most 2**(BLOOM_BITS - 6)
-    words of 64 bits, which is what gets broadcast.
-    """
-    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BLOOM_BITS)
-    words = values.select(place(values.columns[0]).alias("p")).select(F.shiftright("p", 6).alias("_w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    words = words.groupBy("_w").agg(F.bit_or("b").alias("_b"))
-    rows = df.withColumn("_p", place(column))
-    found = rows.join(F.broadcast(words), F.shiftright("_p", 6) == F.col("_w")).where(F.expr("shiftright(_b, cast(_p & 63 as int)) & 1 = 1"))
-    return found.select(*df.columns)

@@ -1,6 +1,9 @@
 import hashlib
+import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -154,17 +157,28 @@ def test_equal_digests_are_compared(spark, monkeypatch):
     assert told == {1: "0" * 32, 3: "0" * 32, 2: "0" * 32 + "-1", 4: "0" * 32 + "-2", 5: "0" * 32 + "-2"}
 
 
-def test_bloom_holds_what_it_was_given(spark):
+def test_bloom_holds_what_it_was_given(spark, monkeypatch):
     known = [fp.digest(str(i)) for i in range(500)]
     df = spark.createDataFrame([(k,) for k in known], "digest string")
     bits = common.bloom(df)
-    assert 400 < bits.sum() <= 500
+    assert 400 < bits.sum() <= 500 and len(bits) == 1 << common.LEAST_BITS
     assert df.where(common.may_hold(spark, bits, F.col("digest"))).count() == 500
     assert spark.range(5000).where(common.may_hold(spark, bits, F.col("id"))).count() < 50
-    assert common.holding(df, df, "digest").count() == 500 and common.holding(df, df.limit(0), "digest").count() == 0
-    ids = spark.range(3000)
-    want = ids.where(common.may_hold(spark, common.bloom(ids.where("id % 7 = 0")), F.col("id"))).collect()
-    assert sorted(common.holding(ids, ids.where("id % 7 = 0"), "id").collect()) == sorted(want)
+    assert common.bloom(df.limit(0)).sum() == 0
+    monkeypatch.setattr(common, "LEAST_BITS", 8)
+    for n in (3, 100, 4000):
+        ids = spark.range(20000)
+        bits = common.bloom(ids.where(f"id < {n}"))
+        found = {r.id for r in ids.where(common.may_hold(spark, bits, F.col("id"))).collect()}
+        assert len(bits) == max(256, 1 << (16 * n - 1).bit_length()) and found >= set(range(n)) and len(found) < n + 20000 / 8
+    monkeypatch.setattr(common, "MOST_BITS", 10)
+    assert common.bloom(spark.range(257)) is None and spark.range(9).where(common.may_hold(spark, None, F.col("id"))).count() == 9
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    kept = common.materialise(spark.range(3), "kept")
+    path = kept.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and common.discard(spark) >= 1 and not os.path.exists(path) and common.discard(spark) == 0
 
 
 def test_naive_bayes_by_hand():
@@ -179,6 +193,43 @@ def test_naive_bayes_by_hand():
         assert got == pytest.approx(model.logs[:, every].sum(1), rel=1e-5)
 
 
+def test_language_fit_by_hand(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcé 日") for _ in range(rng.randrange(1, 30))), rng.choice(["en", "de", "fr"])) for i in range(90)] + [(1, None, "en"), (2, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df)
+    assert model.languages == ["de", "en", "fr"]
+
+    def buckets(t):  # one n-gram after the other
+        t = f" {' '.join(t.lower().split())} "
+        for n in langid.ORDERS:
+            for i in range(len(t) - n + 1):
+                acc = 0
+                for c in t[i : i + n]:
+                    acc = (acc ^ ord(c)) * 0x9E3779B1 % 2**32
+                    acc ^= acc >> 15
+                yield acc * 0x85EBCA77 % 2**32 >> (32 - langid.BITS)
+
+    counts = {k: Counter() for k in model.languages}
+    for _, t, k in rows:
+        if t is not None and k:
+            counts[k].update(buckets(t))
+    size = 1 << langid.BITS
+    logs = {k: (lambda b, c=c: math.log((c[b] + langid.SMOOTHING) / (sum(c.values()) + langid.SMOOTHING * size))) for k, c in counts.items()}
+    n = Counter(k for _, t, k in rows if k and t is not None)
+    texts = {i: t for i, t, _ in rows[:90]}
+    for r in langid.identify(df.where("text is not null and lang is not null"), model).collect():
+        every = list(buckets(texts[r.doc_id]))
+        if not re.search(r"[^\W\d_]", texts[r.doc_id]):
+            assert r.lang_pred == "und"
+            continue
+        prior = {k: math.log(n[k] / sum(n.values())) for k in logs}
+        total = {k: sum(f(b) for b in every) for k, f in logs.items()}
+        best = max(logs, key=lambda k: total[k] + prior[k])
+        small = {k: total[k] * min(1, langid.INDEPENDENT / len(every)) + prior[k] for k in logs}
+        assert r.lang_pred == best and r.score == pytest.approx(math.exp(small[best]) / sum(map(math.exp, small.values())), rel=1e-3)
+
+
 def test_language_held_out(spark):
     rows = queries.op3_language_id(spark, DATA).collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
@@ -221,6 +272,84 @@ def test_maximal_segments_by_hand():
         assert best == pytest.approx(max([0, *(v for _, _, v in got)]))
 
 
+def test_segments_take_linear_time():
+    for s in ([1.0, -2.0], [2.0, -1.0], [1.0, -1.0, 2.0, -3.0]):
+        begin = time.process_time()
+        toxicity.maximal_segments(np.array(s * (1_000_000 // len(s))))
+        assert time.process_time() - begin < 5
+    falling = np.concatenate((np.tile([1.0, -2.0], 200_000), [5e5]))
+    assert toxicity.maximal_segments(falling)[-1] == (400_000, 400_001, 5e5)
+
+
+def test_several_passages_count_together():
+    m = toxicity.Model(np.zeros((2, 0)), 0.5, 1.0, 0.1, 1.0, -3.0)
+    single = float(m.significance(np.array([8.0]), np.array([100]))[0])
+    assert m.aggregate(single, [8.0], 100) == single
+    two, three = m.aggregate(single, [8.0, 8.0], 100), m.aggregate(single, [8.0, 8.0, 8.0], 100)
+    assert single < two < three
+    t = 2 * (8 - math.log(10))
+    assert two == pytest.approx(-math.log(math.exp(-t) * t / 2) - math.log(2))
+    assert m.aggregate(single, [8.0, 7.0], 100) < two
+
+
+def test_toxicity_fit_and_score_by_hand(spark):
+    rng = random.Random(8)
+    bad, fine = ["idiotic", "idiots", "scum", "vermin"], ["table", "garden", "musical", "été", "walking", "the", "of"]
+    rows = []
+    for i in range(240):
+        w = [rng.choice(fine) for _ in range(rng.randrange(1, 40))]
+        for _ in range(2 if i % 3 == 0 else 0):
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = [rng.choice(bad) for _ in range(4)]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame([*rows, (5, rows[5][1]), (900, None), (901, "")], "doc_id long, text string").repartition(3)
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def entries(word):  # one word after the other
+        raw = word.lower().encode()
+        for k, (front, bits) in enumerate(toxicity.LEVELS):
+            h = 0xCBF29CE484222325
+            for c in raw[:front]:
+                h = (h ^ c) * 0x100000001B3 % 2**64
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+            yield ((h ^ h >> 31) >> (64 - bits)) + int(toxicity.OFFSET[k])
+
+    counts = np.zeros((2, toxicity.SIZE))
+    for (_, t), (_, y) in zip(rows, labels, strict=True):
+        for e in {e for w in t.split() for e in entries(w)}:
+            counts[y, e] += 1
+    assert (model.counts == counts).all() and model.base == pytest.approx(counts[1].sum() / counts.sum())
+
+    def word_score(word):
+        share = model.base
+        for e in entries(word):
+            share = (counts[1, e] + toxicity.PRIOR * share) / (counts[:, e].sum() + toxicity.PRIOR)
+        odds = math.log(share / (1 - share)) - math.log(model.base / (1 - model.base))
+        return min(6.0, max(-1.0, math.copysign(max(abs(odds) - toxicity.CHANCE, 0), odds))) - toxicity.DRIFT
+
+    texts = dict(rows) | {900: "", 901: ""}
+    known = {w: word_score(w) for w in bad + fine}
+    got = toxicity.toxicity(docs, model, passages=True).collect()
+    assert len(got) == 243
+    for r in got:
+        s = [known[w] for w in texts[r.doc_id].split()]
+        found = segments_by_hand(s)
+        best = max([v for _, _, v in found], default=0.0)
+        e = model.scale * max(1, len(s)) * math.exp(-model.rate * best)
+        significance = -math.log(-math.expm1(-e)) if best > 0 else 0.0
+        kept = [x for x in found if model.scale * max(1, len(s)) * math.exp(-model.rate * x[2]) <= toxicity.E_VALUE]
+        assert [(p.first, p.end) for p in r.passages] == [x[:2] for x in kept] and r.n_passages == len(kept)
+        normal = sorted((model.rate * v - math.log(model.scale * len(s)) for _, _, v in kept), reverse=True)
+        for k in range(2, len(normal) + 1):
+            t = sum(normal[:k])
+            significance = max(significance, -math.log(2 ** (k - 1) * math.exp(-t) * t ** (k - 1) / (math.factorial(k) * math.factorial(k - 1))))
+        want = 1 / (1 + math.exp(-min(50, max(-50, model.slope * math.sqrt(significance) + model.offset))))
+        assert r.score == pytest.approx(want, rel=1e-4, abs=1e-9) and r.predicted == int(r.score >= 0.5)
+    assert sum(r.predicted == int(r.doc_id < 900 and r.doc_id % 3 == 0) for r in got) > 235
+
+
 def test_toxicity_held_out(spark):
     rows = queries.op10_toxicity(spark, DATA).collect()
     label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
