@@ -6,8 +6,8 @@ rules then name licences: a rule lists identifiers that must follow each
 other with at most `GAP` unknown sentences between them; where rules
 overlap, the earlier rule wins, at each place from left to right.
 
-A sentence may be wrapped over lines, so up to `WRAP` consecutive
-fragments are joined while they begin a known sentence.  The pass is
+A sentence may be wrapped over lines, so consecutive fragments are joined as
+long as they begin a known sentence.  The pass is
 narrow and without state; texts without any of a few necessary words skip
 the sentence work, which changes no result: the words are taken from the
 book in use, each known sentence holds one, and a single word can't be
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GAP = 3
-WRAP = 40
 
 # Licence sentences in public use, by identifier.
 SENTENCES = {
@@ -146,7 +145,7 @@ class Book:
                 if whole in self.known:
                     best = self.known[whole], j + 1
                 j += 1
-                if whole not in self.begun or j >= len(parts) or j - i >= WRAP:
+                if whole not in self.begun or j >= len(parts):
                     break
                 whole = f"{whole} {parts[j]}"
             out.append(best[0] if best else None)

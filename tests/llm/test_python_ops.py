@@ -65,6 +65,61 @@ def test_no_text_is_skipped_that_has_a_sentence(spark):
         assert all(re.search(book.necessary, s) for s in book.known) and not re.search(r"[^a-z0-9|]", book.necessary)
 
 
+def sentences_by_hand(book, text):
+    """From each fragment on, every joint of the following ones is looked up; the longest known one counts."""
+    parts = [n for n in (" ".join(re.findall("[a-z0-9]+", x.lower())) for x in re.split(r"(?<=[.;:!?])\s+|\n", text)) if n]
+    out, i = [], 0
+    while i < len(parts):
+        best = max((j for j in range(i + 1, len(parts) + 1) if " ".join(parts[i:j]) in book.known), default=None)
+        out.append(book.known[" ".join(parts[i:best])] if best else None)
+        i = best or i + 1
+    return out
+
+
+def licenses_by_hand(book, found):
+    out, i = [], 0
+    while i < len(found):
+        for name, rule in book.rules:
+            at = [i]
+            for wanted in rule[1:]:
+                later = [k for k in range(at[-1] + 1, len(found)) if found[k] is not None][:1]
+                at += [k for k in later if found[k] == wanted and k - at[-1] <= licenses.GAP + 1]
+            if found[i] == rule[0] and len(at) == len(rule):
+                out.append((name, i, at[-1] + 1))
+                i = at[-1]
+                break
+        i += 1
+    return out
+
+
+def test_licences_by_hand(spark):
+    rng = random.Random(12)
+    own = licenses.Book({"p": ["Alpha beta", "Alpha beta gamma delta"], "q": ["gamma", "Delta one"], "r": ["beta beta"]}, ["X-1"], [("PQ", ("p", "q")), ("P", ("p",)), ("QQ", ("q", "q")), ("X", ("spdx:X-1",))])
+
+    def wrapped(sentence, most):
+        out, mark = "", rng.choice(["", "# ", " * ", "// ", "\u00a0"])
+        for k, w in enumerate(sentence.split(" ")):
+            out += (rng.choice(["\n" + mark, " ", "  ", "\t"]) if rng.random() < most else " ") * bool(k) + (w.upper() if rng.random() < 0.1 else w)
+        return mark + out
+
+    for book, fillers in ((licenses.Book(), ["Copyright 2020 É. Müller", "", "x = 1;", "THE END!", "日本語。", "permission is hereby"]), (own, ["beta", "alpha", "epsilon.", "", "é"])):
+        rules = {i: [] for i in book.known.values()}
+        for s, i in book.known.items():
+            rules[i].append(s)
+        texts = [wrapped(s, most) + rng.choice([".", "", ";\n"]) for s in book.known for most in (0, 0.5, 2)]
+        for _ in range(300):
+            every = []
+            for _ in range(rng.randrange(1, 4)):
+                for i in rng.choice(book.rules)[1]:
+                    every += [wrapped(rng.choice(rules[i]), rng.choice([0, 0.2, 2])) + "."] + [rng.choice(fillers) for _ in range(rng.randrange(6))]
+            texts.append(rng.choice(["\n", "\n\n"]).join(every))
+        rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4), book=book).collect()
+        for r in rows:
+            found = sentences_by_hand(book, texts[r.id])
+            assert r.sentence_ids == ",".join(filter(None, found)) and r.n_known > 0
+            assert r.licenses == ",".join(x for x, _, _ in licenses_by_hand(book, found))
+
+
 def test_rights_reserved_in_a_bsd_header():
     book = licenses.Book()
     grants = " ".join(licenses.SENTENCES[k][0] + "." for k in ("bsd-grant", "bsd-source", "bsd-binary"))
