@@ -9,11 +9,20 @@ counts do, too; a larger slack moves fewer rows when a shard joins.
 
 Only one count for each cell is gathered (CELLS rows, whatever the input).
 The quotas of cells in shards follow from them, and a row finds its shard
-and slot from its rank within its cell: one shuffle, spread evenly over
-the cells, all in DataFrame operations.
+and slot from its rank within its cell.  Ranks are prefix sums in two levels:
+over the parts of a cell, whose number follows from the number of rows, and
+within a part.  A part is named by a hash of id and text, so a window holds
+about `PART_ROWS` rows even where one id has very many texts; only rows
+that repeat each other in both stay together.  One shuffle, all in DataFrame
+operations.
 
-Defined results: rows with equal ids share a cell and take consecutive
-ranks; a null id hashes as the empty text; a null text has no bytes;
+With law `rows` (slack 0) a shard that joins takes its quota from all others,
+and about a third of the rows that move go between old shards; a slack of
+0.25 moves only rows to the new one, with counts up to a quarter apart (law
+`bounded`).
+
+Defined results: rows with equal ids share a cell; a null id hashes as the
+empty text; a null text has no bytes;
 an empty table gives an empty result.  Columns of docs with the names of
 the added ones are replaced.
 """
@@ -26,10 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from laconic.llm.common import materialise
+
 #: Cells of the ring: 16 ** HEX.
 HEX = 3
 CELLS = 16**HEX
 VIRTUAL = 64
+#: Rows of a part of a cell, and most parts.
+PART_ROWS, MOST_PARTS = 2_000, 4_096
 
 
 def preferences(shards: int, virtual: int = VIRTUAL) -> list[list[int]]:
@@ -64,14 +77,19 @@ def sharded(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     docs = docs.select(*[c for c in docs.columns if c not in added])
     hashed = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    cell = F.conv(F.substring(hashed, 1, HEX), 16, 10).cast("int")
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumns({"_hash": hashed, "_cell": F.conv(F.substring(hashed, 1, HEX), 16, 10).cast("int"), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body)})
+    parts = min(MOST_PARTS, docs.count() // (CELLS * PART_ROWS) + 1)
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_hash", "size", "text_crc32"), F.lit(parts)).cast("int"))
+    cells = materialise(rows.groupBy("_cell", "_part").agg(F.count(F.lit(1)).alias("n")), "cells")
     counts = [0] * CELLS
-    for r in docs.select(cell.alias("_cell")).groupBy("_cell").count().collect():  # CELLS rows at most
-        counts[r["_cell"]] = r["count"]
+    for r in cells.groupBy("_cell").agg(F.sum("n").alias("n")).collect():  # CELLS rows at most
+        counts[r["_cell"]] = r["n"]
     plan = docs.sparkSession.createDataFrame(quotas(counts, shards, slack, virtual), "_c int, shard int, _first long, _end long, _base long")
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({"_cell": cell, "_hash": hashed, "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body)})
-    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_cell").orderBy("_hash", F.col(doc_id), "size", "text_crc32")) - 1)
+    before = F.sum("n").over(W.partitionBy("_cell").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts = cells.select("_cell", "_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_cell", "_part").orderBy("_hash", F.col(doc_id), "size", "text_crc32")) - 1
+    rows = rows.withColumn("_inside", inside).join(starts, ["_cell", "_part"]).withColumn("_rank", F.col("_start") + F.col("_inside"))
     # the plan has CELLS * shards rows at most
     rows = rows.join(F.broadcast(plan), (F.col("_cell") == F.col("_c")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     law = F.lit("rows" if slack == 0 else "bounded")

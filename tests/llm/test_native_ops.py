@@ -1,3 +1,5 @@
+import bisect
+import hashlib
 import random
 import re
 import zlib
@@ -34,7 +36,9 @@ def corpus(rng, n=300):
     return docs + [(900, "a", None), (901, "a", ""), (902, "empty", " "), (903, None, None)]
 
 
-def test_mixing_by_hand(spark):
+@pytest.mark.parametrize("bucket_rows", [1000, 0.01])
+def test_mixing_by_hand(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
     docs = corpus(random.Random(4))
     df = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(5)
     rows = {r.doc_id: r for r in mixing.planned(df).collect()}
@@ -101,6 +105,39 @@ def test_sharding(spark, n):
     assert all(sorted(v) == list(range(len(v))) for v in shards.values())
 
 
+def ring_by_hand(ids, shards, virtual=64):
+    """(cell, shard) -> rows: key after key goes clockwise to the first shard with room; full ones are passed by."""
+    ring = sorted((int(hashlib.md5(f"{s}#{v}".encode()).hexdigest()[:12], 16), s) for s in range(shards) for v in range(virtual))
+    at = [p for p, _ in ring]
+    room = {s: len(ids) // shards + (s < len(ids) % shards) for s in range(shards)}
+    cells = sorted(int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:3], 16) for i in ids)
+    placed, waiting = Counter(), [(c, bisect.bisect_left(at, c << 36), set()) for c in cells]
+    while waiting:
+        later = []
+        for c, k, seen in waiting:
+            while ring[k % len(ring)][1] in seen:
+                k += 1
+            s = ring[k % len(ring)][1]
+            if room[s]:
+                room[s] -= 1
+                placed[c, s] += 1
+            else:
+                later.append((c, k, seen | {s}))
+        waiting = later
+    return placed
+
+
+@pytest.mark.parametrize("part_rows", [2000, 0.001])
+def test_sharding_like_a_ring_by_hand(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    docs = [(i, f"t{i}") for i in range(900)] + [(7, f"same id {k}") for k in range(400)] + [(None, None)] * 5
+    rows = sharding.sharded(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = Counter((int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:3], 16), r.shard) for r in rows)
+    assert got == ring_by_hand([i for i, _ in docs], 8)
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(8) for k in range(len(docs) // 8 + (s < len(docs) % 8))]
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter(docs)
+
+
 def test_bounded_loads_move_little(spark):
     counts = [3] * sharding.CELLS
     n = sum(counts)
