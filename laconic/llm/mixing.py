@@ -4,32 +4,35 @@ Every source has a weight and a schedule: a piecewise-linear density over
 training time 0..1 that says when its share is wanted.  Its target (words)
 follows from the weights by water-filling: no source is repeated more than
 `cap` times, the excess goes to the others by weight.  A source's documents
-form one stream in the order of a hash of their ids, repeated as often as
+form one stream in the order of a hash of id and text, repeated as often as
 the target asks; the offset of an occurrence in that stream, divided by the
 target, is inverted through the integral of the schedule and gives its
 training position.  Documents are then range-sorted by position.
 
 All of it is DataFrame operations.  The offset is a prefix sum in two
 levels: within (source, bucket of the hash), and over the buckets' totals,
-so a source that holds a third of all rows is spread over `BUCKETS` groups;
-only one row for each source and bucket meets in one place.
+so a source that holds a third of all rows is spread over all its buckets,
+whose number follows from the number of rows, and so is an id with very many
+texts; only one row for each source and bucket meets in one place.
 
 Defined results: a null source is a source, the last one; null or wordless
-texts have size 0 and take nothing; ids are taken as keys, but rows with
-equal ids only share a bucket; an empty table gives an empty result; input
+texts have size 0 and take nothing; rows that repeat each other in id and
+text share a bucket and follow one another; an empty table gives an empty result; input
 columns are kept, the added ones start with an underscore.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from laconic.llm.common import WORD, materialise
 
-#: Buckets of a source's stream (hex digits of the hash: 16 ** 3).
-HEX = 3
+#: Rows of a bucket, if its source holds all; hex digits of the hash that name buckets, least and most.
+BUCKET_ROWS, LEAST_HEX, MOST_HEX = 1_000, 3, 5
 CYCLE = (1, 2, 3)
 CAP = 3
 #: Knots (time, density) of each schedule; source number i takes schedule i modulo their number.
@@ -84,9 +87,10 @@ def position(schedule: Column, done: Column, schedules=SCHEDULES) -> Column:
 
 def planned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", cycle=CYCLE, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
     """docs with _size, _source_size, _target, _taken (words), _copies (whole occurrences), _offset, _number."""
-    hashed = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    hashed = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5(F.col(text)), F.lit(""))))
+    digits = min(MOST_HEX, max(LEAST_HEX, math.ceil(math.log(docs.count() / BUCKET_ROWS + 1, 16))))
     # a null source is told from any text by the flag
-    sized = docs.withColumns({"_size": words(text), "_hash": hashed, "_bucket": F.substring(hashed, 1, HEX), "_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_unknown": F.col(source).isNull()})
+    sized = docs.withColumns({"_size": words(text), "_hash": hashed, "_bucket": F.substring(hashed, 1, digits), "_source": F.coalesce(F.col(source).cast("string"), F.lit("")), "_unknown": F.col(source).isNull()})
     key = ["_unknown", "_source"]
     buckets = materialise(sized.groupBy(*key, "_bucket").agg(F.sum("_size").alias("words")), "mix")
     sizes = buckets.groupBy(*key).agg(F.sum("words").alias("source_size")).select(F.when(~F.col("_unknown"), F.col("_source")).alias("source"), "source_size")
