@@ -24,6 +24,7 @@ from laconic.plans.compress import compressed
 from laconic.plans.requests import processed
 from laconic.rules import detectors
 from laconic.rules.filters import builtin
+from laconic.sources import requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -482,6 +483,62 @@ def reduction_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.by_type(_measures(spark, sf_dir))
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, body): each conversation as a request, in turn in one of the four dialects; assistants' texts are outputs of calls."""
+    c = table(spark, sf_dir, "conversations").where("text is not null and text <> ''")
+    turn, text = F.col("turn").cast("string"), F.col("text")
+    tool, call = F.col("role") == "assistant", F.concat(F.lit("c"), turn)
+    command = F.concat(F.lit("ls d"), turn)
+    pair = lambda a, b, other: F.when(tool, F.array(F.to_json(a), F.to_json(b))).otherwise(F.array(F.to_json(other)))
+    said = lambda content: F.struct("role", content.alias("content"))
+    args = F.to_json(F.struct(command.alias("command")))
+    chat = pair(
+        F.struct(F.lit("assistant").alias("role"), F.array(F.struct(call.alias("id"), F.struct(F.lit("bash").alias("name"), args.alias("arguments")).alias("function"))).alias("tool_calls")),
+        F.struct(F.lit("tool").alias("role"), call.alias("tool_call_id"), text.alias("content")), said(text),
+    )
+    blocks = pair(
+        F.struct(F.lit("assistant").alias("role"), F.array(F.struct(F.lit("tool_use").alias("type"), call.alias("id"), F.lit("Bash").alias("name"), F.struct(command.alias("command")).alias("input"))).alias("content")),
+        F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("tool_result").alias("type"), call.alias("tool_use_id"), text.alias("content"))).alias("content")),
+        said(F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))),
+    )
+    # of two calls by one name, none is an output's
+    name = F.concat(F.lit("ns"), F.when(F.col("turn") % 4 == 3, F.lit("3")).otherwise(turn), F.lit(".bash"))
+    parts = pair(
+        F.struct(F.lit("model").alias("role"), F.array(F.struct(F.struct(name.alias("name"), F.struct(command.alias("command")).alias("args")).alias("functionCall"))).alias("parts")),
+        F.struct(F.lit("function").alias("role"), F.array(F.struct(F.struct(name.alias("name")).alias("functionResponse"), text.alias("text"))).alias("parts")),
+        F.struct("role", F.array(F.struct(text.alias("text"))).alias("parts")),
+    )
+    items = pair(
+        F.struct(F.lit("function_call").alias("type"), call.alias("call_id"), F.lit("exec_command").alias("name"), F.to_json(F.struct(command.alias("cmd"))).alias("arguments")),
+        F.struct(F.lit("function_call_output").alias("type"), call.alias("call_id"), text.alias("output")), said(text),
+    )
+    kind = F.pmod("conv_id", F.lit(4))
+    c = c.select("conv_id", "turn", kind.alias("kind"), F.when(kind == 0, chat).when(kind == 1, blocks).when(kind == 2, parts).otherwise(items).alias("m"))
+    b = c.groupBy("conv_id", "kind").agg(F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", "m"))), lambda x: x["m"])), ",").alias("m"))
+    key = F.when(F.col("kind") == 2, "contents").when(F.col("kind") == 3, "input").otherwise("messages")
+    return b.select(F.col("conv_id").alias("request_id"), F.concat(F.lit('{"'), key, F.lit('":['), "m", F.lit("]}")).alias("body"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, text, conv_id % 4 AS d, CASE WHEN turn % 4 = 3 THEN '3' ELSE CAST(turn AS VARCHAR) END AS n FROM conversations WHERE text IS NOT NULL AND text <> ''),
+o AS (SELECT *, count(*) FILTER (WHERE role = 'assistant') OVER (PARTITION BY conv_id, n) AS same FROM c)
+SELECT conv_id AS request_id, ['chat', 'blocks', 'parts', 'items'][d + 1] AS dialect, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos,
+  CASE WHEN role = 'assistant' THEN 'tool' WHEN role = 'user' AND d < 3 THEN 'user' ELSE 'other' END AS kind, md5(text) AS text, CASE WHEN role = 'assistant' AND (d <> 2 OR same = 1) THEN 'ls d' || turn END AS hint FROM o
+""")
+def request_dialects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.exploded(_bodies(spark, sf_dir)).select("request_id", "dialect", "pos", "kind", F.md5("text").alias("text"), "hint")
+
+
+@query("""
+WITH c AS (SELECT *, conv_id % 4 AS d, (length(text) + 3) // 4 AS t FROM conversations WHERE text IS NOT NULL AND text <> '')
+SELECT conv_id AS request_id, ['chat', 'blocks', 'parts', 'items'][any_value(d) + 1] AS dialect, CAST(sum(t) AS BIGINT) AS original, count(*) FILTER (WHERE role = 'assistant') AS tools FROM c GROUP BY conv_id
+""")
+def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of requests before compression, under repeated and null ids: the true key rides along in a column of its own."""
+    b = _bodies(spark, sf_dir).withColumn("key", F.col("request_id")).withColumn("request_id", F.when(F.col("key") % 3 > 0, F.lit(1)))
+    return processed(b).select(F.col("key").alias("request_id"), "dialect", "original", F.size("per_command").cast("long").alias("tools"))
+
+
 # queries without SQL: sequential by nature; tests hold them against plain Python
 
 

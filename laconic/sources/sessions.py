@@ -9,9 +9,9 @@ from laconic.functions.text import trim
 
 
 def session_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of all *.jsonl files below root, with file and place for an order that reruns keep."""
+    """Lines of all *.jsonl files below root, with file and place: the block's start and a number that ascends within it, so the order is the file's however files are split."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place"), "value")
 
 
 def items(lines: DataFrame) -> DataFrame:

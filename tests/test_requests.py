@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from laconic.config import EngineConfig
 from laconic.operators import hints
-from laconic.plans.requests import messages, processed
+from laconic.plans.requests import messages, processed, session_updates, with_sessions
 from laconic.queries import CALLS
 from laconic.sources import encode, requests, state
 from laconic.sources.rules import custom, custom_from
@@ -101,6 +101,47 @@ def test_requests_in_spark(spark):
     assert processed(df.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids(spark):
+    one, two = json.dumps(chat()), json.dumps(blocks())
+    alone = {b: spark.createDataFrame([(1, b)], "request_id long, body string") for b in (one, two)}
+    want = {b: processed(df).drop("request_id").first() for b, df in alone.items()}
+    df = spark.createDataFrame([(7, one), (7, one), (7, two), (None, one), (None, two)], "request_id long, body string")
+    rows = processed(df).collect()
+    assert sorted((str(r.request_id), r.body) for r in rows) == sorted((str(i), b) for i, b in df.collect())
+    for r in rows:
+        assert tuple(x for k, x in r.asDict().items() if k != "request_id") == tuple(want[r.body])
+    assert want[one].original > want[one].compressed and not want[two].saves
+
+
+def test_one_pass_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, json.dumps(chat()))], "request_id long, body string")
+    plan = processed(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("ArrowEvalPython") == 2
+
+
+def test_custom_filters_in_requests(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "mine", "category": "c", "priority": 900, "match": {"outputTypes": ["git-status"]}}]')
+    df = spark.createDataFrame([(1, json.dumps(chat()))], "request_id long, body string")
+    assert processed(df).first().filters == ["git-status"]
+    assert processed(df, custom=custom(str(tmp_path))).first().filters == ["mine"]
+    assert processed(df, EngineConfig(filters_dir=str(tmp_path))).first().filters == ["mine"]
+
+
+def test_sessions_from_stored_state(spark):
+    asks = json.dumps({"input": [{"type": "function_call", "call_id": "x", "name": "write_stdin", "arguments": '{"session_id": 5, "chars": ""}'}, {"type": "function_call_output", "call_id": "x", "output": "nothing to see"}]})
+    bodies = [(1, asks), (1, asks), (None, json.dumps(items())), (4, None), (5, "nope")]
+    df = spark.createDataFrame(bodies, "request_id long, body string")
+    stored = spark.createDataFrame([(5, "old", 10), (5, "cargo build", 20), (6, "make", 30)], state.SCHEMA)
+    with_known = with_sessions(df, stored)
+    assert sorted((str(r.request_id), [tuple(k) for k in r.known or []]) for r in with_known.collect()) == sorted([("1", [(5, "cargo build")]), ("1", [(5, "cargo build")]), ("None", []), ("4", []), ("5", [])])
+    done = processed(with_known, known="known")
+    assert [r.per_command[0].command_type for r in done.where("request_id = 1").collect()] == ["cargo-build"] * 2
+    assert processed(df).where("request_id = 1").first().per_command[0].command_type == "unknown"
+    fresh = session_updates(done, 50)
+    assert sorted(map(tuple, fresh.collect())) == [(7, "cargo build", 50), (9, "git log -3", 50)]
+    assert sorted(map(tuple, state.merge(fresh, state.latest(stored)).collect())) == [(5, "cargo build", 20), (6, "make", 30), (7, "cargo build", 50), (9, "git log -3", 50)]
+
+
 def test_patches():
     body = '{"b":1,"output":"x\\n1","a":[{"output": "y"}]}'
     assert encode.patched(body, [("x\n1", "X"), ("y", "Y")]) == '{"b":1,"output":"X","a":[{"output": "Y"}]}'
