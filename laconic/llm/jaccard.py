@@ -288,8 +288,10 @@ def plausible(pairs: DataFrame, p: int, q: int) -> DataFrame:
 
 #: Rounds in which members of a large bucket only meet its pivots, and pivots of each side, before all that is left is compared.
 ROUNDS, PIVOTS = 3, 2
-#: Rows of one side of a pair of blocks, least and most (between them: a quarter of the bucket), and most bytes of its sketches.
-LEAST_BLOCK, BLOCK, BLOCK_BYTES = 256, 2048, 32 << 20
+#: Rows of a block at most, and bytes of its sketches.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: Tasks of the last pass for each shuffle partition: its groups differ in size.
+TASKS = 2
 
 
 def _across(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
@@ -389,21 +391,22 @@ def _near_pivots(mixed: DataFrame, number: int, p: int, q: int) -> DataFrame:
 def _between(mixed: DataFrame, p: int, q: int) -> DataFrame:
     """All plausible pairs (a, b) of different components within the buckets.
 
-    Only members outside a bucket's largest component are compared: with
-    that component and with each other.  Both sides are cut into blocks,
-    and each pair of blocks is a group of its own, dealt by all three of
-    (key, lo, hi): one hot bucket is spread over as many tasks as it has
-    pairs of blocks.
+    A bucket that fits into a block is one group.  Of a larger one, only
+    members outside its largest component are compared: with that component
+    and with each other.  Both sides are cut into blocks, and each pair of
+    blocks is a group of its own, dealt by all three of (key, lo, hi): one
+    hot bucket is spread over as many tasks as it has pairs of blocks.
     """
-    # the size of a block follows from the bucket's, and from what its sketches take
-    size = F.greatest(F.lit(16), F.least(F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("m") / 4)), F.lit(BLOCK), F.floor(BLOCK_BYTES / F.col("wide"))))
-    blocks = lambda n: F.ceil(n / size).cast("int")
-    dealt = mixed.withColumns({"outside": blocks(F.col("m") - F.col("inside")), "blocks": blocks(F.col("inside"))})
+    size = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / F.col("wide"))))
+    whole, outer = F.col("m") <= size, F.col("m") - F.col("inside")
+    blocks = lambda n: F.when(whole, 0).otherwise(F.ceil(n / size)).cast("int")
+    dealt = mixed.withColumns({"outside": F.greatest(F.lit(1), blocks(outer)), "blocks": blocks(F.col("inside"))})
+    dealt = dealt.withColumn("inner", F.col("inner") & (F.col("blocks") > 0))
     place = F.xxhash64("a")
-    dealt = dealt.withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(place, F.col("blocks"))).otherwise(F.pmod(place, F.col("outside"))).cast("int"))
+    dealt = dealt.withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(place, F.greatest(F.lit(1), F.col("blocks")))).otherwise(F.pmod(place, F.col("outside"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outside") - 1 + F.when(F.col("inner"), 0).otherwise(F.col("blocks")))))
     dealt = dealt.select("key", "a", "whole", "n", "sketch", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    tasks = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = TASKS * int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = mixed.schema["a"].dataType.simpleString()
     return dealt.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(lambda f: _across(f, p, q), f"a {kind}, b {kind}")
 
@@ -432,18 +435,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if not large.isEmpty():
         rows = large.select("key", "a", "whole").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"))
         rows = materialise(rows, "large")
-        tried = pairs
-        for number in range(ROUNDS + 1):
-            mixed = _mixed(rows, labels)
+        tried, mixed, number = pairs, _mixed(rows, labels), 0
+        while True:
             near = _near_pivots(mixed, number, p, q) if number < ROUNDS else _between(mixed, p, q)
             rest = materialise(ordered(near).join(tried, ["a", "b"], "left_anti"), "rest")
-            if rest.isEmpty():
-                continue
-            fresh = materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
-            if not fresh.isEmpty():
+            fresh = None if rest.isEmpty() else materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
+            linked = fresh is not None and not fresh.isEmpty()
+            if linked:
                 links = links.union(fresh)
                 labels = components(links)
-            tried = tried.union(rest)
+            if number >= ROUNDS:
+                break
+            if linked:
+                mixed = _mixed(rows, labels)
+            # pivots that link nothing: the members left are apart, or few
+            tried, number = tried.union(rest), number + 1 if linked else ROUNDS
     # as a table of its own, so that Spark can split a digest that very many rows share
     named = materialise(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
     return base.drop("sketch").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -83,7 +83,9 @@ def test_empty_table_and_clashing_columns(spark):
     assert [r.doc_id for r in jaccard.keep_one(df).collect()] == [1]
 
 
-def test_blocks_of_a_hot_bucket_are_dealt_by_themselves(spark):
+@pytest.mark.parametrize("block", [2048, 16])
+def test_blocks_of_a_hot_bucket_are_dealt_by_themselves(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = spark.createDataFrame([(1, i, True, 8, jaccard.sketch(np.arange(8, dtype=np.uint64) + np.uint64(i % 2))) for i in range(40)], "key long, a long, whole boolean, n long, sketch binary")
     labels = spark.createDataFrame([(i, 0) for i in range(30)], "node long, component long")
     mixed = jaccard._mixed(rows, labels)
@@ -99,7 +101,7 @@ def test_blocks_of_a_hot_bucket_are_dealt_by_themselves(spark):
 def test_many_unlinked_members_of_large_buckets(spark, monkeypatch):
     # a common passage and tails of their own: below the threshold, some linked in chains
     monkeypatch.setattr(jaccard, "SMALL", 3)
-    monkeypatch.setattr(jaccard, "LEAST_BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
     rng = random.Random(11)
     passage = [f"p{k}" for k in range(60)]
     docs = []
