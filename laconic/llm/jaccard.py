@@ -344,27 +344,34 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, a, whole, n, sketch) of the buckets with several components; c: a member's, inner: whether it is the bucket's largest; m, inside, wide: the bucket's members, those inside, its widest sketch."""
+def _mixed(rows: DataFrame, labels: DataFrame, number: int = 0) -> DataFrame:
+    """Members (key, a, whole, n, sketch) of the buckets with several components.
+
+    c: a member's component; inner: whether it is the bucket's largest; m,
+    inside, wide: the bucket's members, those inside, its widest sketch;
+    pivots: the members that a hash of this round picks, `PIVOTS` inside the
+    largest component and as many outside.
+    """
     known = rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
-    parts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("sketch")).alias("wide"))
-    cuts = parts.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("inside"), F.sum("k").alias("m"), F.max("wide").alias("wide")).where("m > inside")
+    member = lambda k: F.struct(F.xxhash64("a", F.lit(number * PIVOTS + k)).alias("h"), "a", "n", "c", "whole", "sketch")
+    parts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("sketch")).alias("wide"), *[F.min(member(k)).alias(f"p{k}") for k in range(PIVOTS)])
+    main = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("m"), F.max("wide").alias("wide")).where("m > main.k")
+    outside = lambda k: F.min(F.when(F.col("c") != F.col("main.c"), F.col(f"p{k}")))
+    inside = lambda k: F.min(F.when(F.col("c") == F.col("main.c"), F.col(f"p{k}")))
+    both = parts.drop("wide").join(main, "key").groupBy("key", "main", "m", "wide").agg(F.array(*[side(k) for k in range(PIVOTS) for side in (inside, outside)]).alias("pivots"))
+    cuts = both.select("key", F.col("main.c").alias("main"), F.col("main.k").alias("inside"), "m", "wide", "pivots")
     # as a table of its own: Spark knows its size, and may split a hot key of the other side
     return materialise(known.join(materialise(cuts, "cuts"), "key").withColumn("inner", F.col("c") == F.col("main")).drop("main"), "mixed")
 
 
-def _near_pivots(mixed: DataFrame, number: int, p: int, q: int) -> DataFrame:
+def _near_pivots(mixed: DataFrame, p: int, q: int) -> DataFrame:
     """Plausible pairs (a, b): each member with the nearest pivot of another component in any of its buckets.
 
-    Pivots are picked by a hash, from inside and outside the largest
-    component; every row only meets its bucket's pivots, so the work grows
-    with the rows, and no bucket has to be in one place.
+    Every row only meets its bucket's pivots, so the work grows with the
+    rows, and no bucket has to be in one place.
     """
-    pick = lambda k, side: F.min(F.when(side, F.struct(F.xxhash64("a", F.lit(number * PIVOTS + k)).alias("h"), "a", "n", "c", "whole", "sketch")))
-    pivots = mixed.groupBy("key").agg(F.array_compact(F.array(*[pick(k, side) for k in range(PIVOTS) for side in (F.col("inner"), ~F.col("inner"))])).alias("pivots"))
-    met = mixed.join(materialise(pivots, "pivots"), "key")
     far = lambda s: (s["c"] != F.col("c")) & (s["whole"] | F.col("whole")) & (F.least(s["n"], F.col("n")) * q >= F.greatest(s["n"], F.col("n")) * p)
-    met = met.select("a", "n", "sketch", F.filter("pivots", far).alias("pivots")).where(F.size("pivots") > 0)
+    met = mixed.select("a", "n", "sketch", F.filter("pivots", far).alias("pivots")).where(F.size("pivots") > 0)
     met = met.withColumn("most", F.transform("pivots", lambda s: F.expr("n") + s["n"])).select("a", "sketch", "most", F.transform("pivots", lambda s: s["a"]).alias("b"), F.transform("pivots", lambda s: s["sketch"]).alias("there"))
 
     def run(batches):
@@ -437,7 +444,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = materialise(rows, "large")
         tried, mixed, number = pairs, _mixed(rows, labels), 0
         while True:
-            near = _near_pivots(mixed, number, p, q) if number < ROUNDS else _between(mixed, p, q)
+            near = _near_pivots(mixed, p, q) if number < ROUNDS else _between(mixed, p, q)
             rest = materialise(ordered(near).join(tried, ["a", "b"], "left_anti"), "rest")
             fresh = None if rest.isEmpty() else materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
             linked = fresh is not None and not fresh.isEmpty()
@@ -447,7 +454,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             if number >= ROUNDS:
                 break
             if linked:
-                mixed = _mixed(rows, labels)
+                mixed = _mixed(rows, labels, number + 1)
             # pivots that link nothing: the members left are apart, or few
             tried, number = tried.union(rest), number + 1 if linked else ROUNDS
     # as a table of its own, so that Spark can split a digest that very many rows share

@@ -94,7 +94,7 @@ def test_blocks_of_a_hot_bucket_are_dealt_by_themselves(spark, monkeypatch, bloc
     assert re.search(r"FlatMapGroupsInPandas[\s\S]*Exchange hashpartitioning\(key#\d+L?, lo#\d+, hi#\d+, \d+\), REPARTITION_BY_NUM", plan)
     want = {tuple(sorted((i, j))) for i in range(30, 40) for j in range(40) if i != j and i % 2 == j % 2}
     assert {tuple(sorted(r)) for r in found.collect()} == want
-    near = jaccard._near_pivots(mixed, 0, 85, 100).collect()
+    near = jaccard._near_pivots(mixed, 85, 100).collect()
     assert len({r.a for r in near}) == len(near) > 20 and {tuple(sorted(r)) for r in near} <= want
 
 
