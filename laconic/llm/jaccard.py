@@ -21,11 +21,14 @@ get deletion segments; above, d is 0 and the join is one of plain segments.  Sha
 Skew.  Equal sets collapse to one representative first.  A bucket of at
 most `SMALL` members gives its pairs; a larger one gives a star around its
 first member.  Then, in a few rounds, members of large buckets that still
-hold several components each meet some pivots of their bucket, and the
-nearest one becomes a candidate: that links dense groups at a cost that
-grows with the rows.  Last, the members that are still outside the largest
-component of a bucket are compared with all others of it, in pairs of blocks
-of bounded size, each of them a group of its own.  Before any text moves,
+hold several components each get one candidate: in a bucket that fits into a
+block (`BLOCK`, `BLOCK_BYTES`) the nearest member of another component, found
+within one group of bounded size; in a wider one the nearest of some pivots
+of the bucket.  A round writes one pair a member at most, and buckets that
+have become one component leave.  Last, what is left is compared in full: a
+bucket within a block as one group, of a wider one the members outside its
+largest component with all others, in pairs of blocks of bounded size, each
+of them a group of its own.  Before any text moves,
 parity sketches drop the pairs that differ in more than H places; with two
 places for a token or more, that leaves pairs of, in expectation, at most
 1.09 * H differences, so the last pass writes rows only for pairs at most
@@ -144,6 +147,11 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((mix(tokens + U64(77)) & U64(places - 1)).astype(np.int64), minlength=places) & 1).tobytes()
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Bytes of the sketches of sets of n tokens."""
+    return np.maximum(128, 2 ** np.ceil(np.log2(2 * n)).astype(np.int64) // 8)
+
+
 def set_digests(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """(doc_id, n_shingles, digest, sketch): digest and sketch are null for an empty set; equal sets share the 16 bytes of the digest."""
 
@@ -199,11 +207,11 @@ def _packed(docs: DataFrame, text: str, n: int, p: int, q: int, parts: int) -> D
 
 HEAD = np.dtype([("digest", np.uint8, 16), ("size", np.uint32), ("keys", np.uint32)])
 NAME = np.dtype([("hi", np.uint64), ("lo", np.uint64)])
-CANDIDATE = "key long, a binary, b binary, whole boolean"
+CANDIDATE = "key long, a binary, b binary, whole boolean, fits boolean"
 
 
-def _buckets(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
-    """Candidates of one part: pairs (key null) and the members of large buckets (b null)."""
+def _buckets(frame: pd.DataFrame, p: int, q: int, small: int, block: int) -> pd.DataFrame:
+    """Candidates of one part: pairs (key null) and the members of large buckets (b null), which may fit into a block."""
     heads, found = [], []
     for blob in frame["blob"]:
         n = int.from_bytes(blob[:8], "little")
@@ -224,12 +232,12 @@ def _buckets(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
     starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
     lengths = np.diff(np.concatenate((starts, [len(every)])))
     wholes = np.add.reduceat(1 - part_of, starts)  # they come first in their bucket; without any, it has no candidate
-    left, right, big = [], [], []
+    left, right, big, fit = [], [], [], []
     for length in np.unique(lengths[(lengths > 1) & (wholes > 0)]).tolist():
         at = starts[(lengths == length) & (wholes > 0)]
         places = at[:, None] + np.arange(length)
         rows = of[places]
-        if length <= SMALL:
+        if length <= small:
             i, j = np.triu_indices(length, 1)
             useful = part_of[places][:, i] == 0
             left.append(rows[:, i][useful])
@@ -238,10 +246,10 @@ def _buckets(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
             left.append(np.repeat(rows[:, 0], length - 1))
             right.append(rows[:, 1:].ravel())
             big.append(places.ravel())
+            fit.append(np.repeat((length <= block) & (length * _width(size[rows].max(1)) <= BLOCK_BYTES), length))
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-    fits = small * q >= large * p
-    a, b = np.minimum(a, b)[fits], np.maximum(a, b)[fits]
+    near = np.minimum(size[a], size[b]) * q >= np.maximum(size[a], size[b]) * p
+    a, b = np.minimum(a, b)[near], np.maximum(a, b)[near]
     pair = np.unique(a * len(names) + b)
     a, b = pair // max(1, len(names)), pair % max(1, len(names))
     places = np.concatenate(big) if big else np.zeros(0, np.int64)
@@ -252,6 +260,7 @@ def _buckets(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
         "a": [raw[i] for i in a] + [raw[i] for i in of[places]],
         "b": [raw[i] for i in b] + [None] * len(places),
         "whole": [True] * len(a) + (part_of[places] == 0).tolist(),
+        "fits": [True] * len(a) + (np.concatenate(fit).tolist() if fit else []),
     })
 
 
@@ -290,27 +299,50 @@ def plausible(pairs: DataFrame, p: int, q: int) -> DataFrame:
 ROUNDS, PIVOTS = 3, 2
 #: Rows of a block at most, and bytes of its sketches.
 BLOCK, BLOCK_BYTES = 2048, 32 << 20
+#: Bytes of sketches compared at once.
+COMPARED = 16 << 20
 #: Tasks of the last pass for each shuffle partition: its groups differ in size.
 TASKS = 2
 
 
-def _across(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
-    """Plausible pairs between two blocks of a large bucket whose members are in different components."""
-    i, j = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
-    x, y = (frame[frame["block"] == k] for k in (i, j))
-    size = min(frame["sketch"].map(len))
-    sx, sy, out = _words(x["sketch"], size), _words(y["sketch"], size), []
+def _close(x: pd.DataFrame, y: pd.DataFrame, p: int, q: int):
+    """(rows of x, rows of y, bits apart) of the plausible pairs of different components, some rows of x at a time."""
+    size = min(x["sketch"].map(len).min(), y["sketch"].map(len).min())
+    sx, sy = _words(x["sketch"], size), _words(y["sketch"], size)
     nx, ny, cx, cy, wx, wy = (f[c].to_numpy() for c in ("n", "c", "whole") for f in (x, y))
-    for at in range(0, len(x), 32):
-        s = slice(at, at + 32)
+    step = max(1, min(32, COMPARED // (len(y) * int(size))))
+    for at in range(0, len(x), step):
+        s = slice(at, at + step)
         ok = (cx[s, None] != cy) & (wx[s, None] | wy) & (np.minimum(nx[s, None], ny) * q >= np.maximum(nx[s, None], ny) * p)
         r, c = np.nonzero(ok)
-        good = np.bitwise_count(sx[s][r] ^ sy[c]).sum(1, dtype=np.int64) <= (nx[s][r] + ny[c]) * (q - p) // (q + p)
-        out.append((r[good] + at, c[good]))
-    r, c = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 2
+        apart = np.bitwise_count(sx[s][r] ^ sy[c]).sum(1, dtype=np.int64)
+        good = apart <= (nx[s][r] + ny[c]) * (q - p) // (q + p)
+        yield r[good] + at, c[good], apart[good]
+
+
+def _across(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
+    """Plausible pairs between two blocks of a large bucket whose members are in different components."""
+    x, y = (frame[frame["block"] == frame[side].iloc[0]] for side in ("lo", "hi"))
+    if x.empty or y.empty:
+        return pd.DataFrame({"a": [], "b": []})
+    r, c = (np.concatenate(z) for z in list(zip(*_close(x, y, p, q), strict=True))[:2])
     return pd.DataFrame({"a": x["a"].to_numpy()[r], "b": y["a"].to_numpy()[c]})
 
 
+def _nearest(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
+    """The members of a bucket with several components, each with the nearest plausible member of another one as b, or null."""
+    if frame["c"].nunique() < 2:
+        return frame[:0].drop(columns="c").assign(b=None)
+    frame = frame.sort_values("a", ignore_index=True)
+    ids, b = frame["a"].to_numpy(), np.full(len(frame), None, object)
+    for r, c, apart in _close(frame, frame, p, q):
+        order = np.lexsort((c, apart, r))
+        r, c = r[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else []
+        b[r[first]] = ids[c[first]]
+    return frame.drop(columns="c").assign(b=b)
+
+
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -344,6 +376,16 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _grouped(rows: DataFrame, labels: DataFrame):
+    """The rows (key, a, whole, n, sketch) of buckets that fit into a block, with their component c, grouped by bucket."""
+    tasks = TASKS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _labelled(rows, labels).repartition(tasks, "key").groupBy("key")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+
+
 def _mixed(rows: DataFrame, labels: DataFrame, number: int = 0) -> DataFrame:
     """Members (key, a, whole, n, sketch) of the buckets with several components.
 
@@ -352,7 +394,7 @@ def _mixed(rows: DataFrame, labels: DataFrame, number: int = 0) -> DataFrame:
     pivots: the members that a hash of this round picks, `PIVOTS` inside the
     largest component and as many outside.
     """
-    known = rows.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("c", F.coalesce("component", "a")).drop("component")
+    known = _labelled(rows, labels)
     member = lambda k: F.struct(F.xxhash64("a", F.lit(number * PIVOTS + k)).alias("h"), "a", "n", "c", "whole", "sketch")
     parts = known.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.max(F.octet_length("sketch")).alias("wide"), *[F.min(member(k)).alias(f"p{k}") for k in range(PIVOTS)])
     main = parts.groupBy("key").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("m"), F.max("wide").alias("wide")).where("m > main.k")
@@ -398,19 +440,16 @@ def _near_pivots(mixed: DataFrame, p: int, q: int) -> DataFrame:
 def _between(mixed: DataFrame, p: int, q: int) -> DataFrame:
     """All plausible pairs (a, b) of different components within the buckets.
 
-    A bucket that fits into a block is one group.  Of a larger one, only
-    members outside its largest component are compared: with that component
-    and with each other.  Both sides are cut into blocks, and each pair of
-    blocks is a group of its own, dealt by all three of (key, lo, hi): one
-    hot bucket is spread over as many tasks as it has pairs of blocks.
+    Only members outside a bucket's largest component are compared: with that
+    component and with each other.  Both sides are cut into blocks, and each
+    pair of blocks is a group of its own, dealt by all three of (key, lo, hi):
+    one hot bucket is spread over as many tasks as it has pairs of blocks.
     """
     size = F.greatest(F.lit(16), F.least(F.lit(BLOCK), F.floor(BLOCK_BYTES / F.col("wide"))))
-    whole, outer = F.col("m") <= size, F.col("m") - F.col("inside")
-    blocks = lambda n: F.when(whole, 0).otherwise(F.ceil(n / size)).cast("int")
-    dealt = mixed.withColumns({"outside": F.greatest(F.lit(1), blocks(outer)), "blocks": blocks(F.col("inside"))})
-    dealt = dealt.withColumn("inner", F.col("inner") & (F.col("blocks") > 0))
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    dealt = mixed.withColumns({"outside": blocks(F.col("m") - F.col("inside")), "blocks": blocks(F.col("inside"))})
     place = F.xxhash64("a")
-    dealt = dealt.withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(place, F.greatest(F.lit(1), F.col("blocks")))).otherwise(F.pmod(place, F.col("outside"))).cast("int"))
+    dealt = dealt.withColumn("block", F.when(F.col("inner"), F.col("outside") + F.pmod(place, "blocks")).otherwise(F.pmod(place, "outside")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outside") - 1 + F.when(F.col("inner"), 0).otherwise(F.col("blocks")))))
     dealt = dealt.select("key", "a", "whole", "n", "sketch", "c", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     tasks = TASKS * int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -426,7 +465,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct("doc_id", "n_shingles", "sketch"))
     classes = materialise(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(first.alias("f")).select("digest", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.sketch").alias("sketch")), "classes")
     parts = 12 + total // 3 // KEYS_A_TASK
-    found = materialise(_packed(docs, text, n, p, q, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda f: _buckets(f, p, q), CANDIDATE), "buckets")
+    small, block = SMALL, BLOCK
+    found = materialise(_packed(docs, text, n, p, q, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda f: _buckets(f, p, q, small, block), CANDIDATE), "buckets")
 
     def known(column: str) -> DataFrame:
         return classes.select(F.col("digest").alias(column), F.col("rep").alias("r" + column), F.col("n").alias("n" + column), F.col("sketch").alias("s" + column))
@@ -440,11 +480,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(links)
     large = found.where("key is not null")
     if not large.isEmpty():
-        rows = large.select("key", "a", "whole").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"))
+        rows = large.select("key", "a", "whole", "fits").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"), "fits")
         rows = materialise(rows, "large")
-        tried, mixed, number = pairs, _mixed(rows, labels), 0
+        narrow, wide = (rows.where(F.col("fits") == fits).drop("fits") for fits in (True, False))
+        wide = None if wide.isEmpty() else _mixed(wide, labels)
+        kind = rows.schema["a"].dataType.simpleString()
+        member = f"key long, a {kind}, whole boolean, n long, sketch binary, b {kind}"
+        tried, number = pairs, 0
         while True:
-            near = _near_pivots(mixed, p, q) if number < ROUNDS else _between(mixed, p, q)
+            if number < ROUNDS:
+                met = materialise(_grouped(narrow, labels).applyInPandas(lambda f: _nearest(f, p, q), member), "nearest")
+                near, narrow = met.where("b is not null").select("a", "b"), met.drop("b")
+                near = near if wide is None else near.union(_near_pivots(wide, p, q))
+            else:
+                near = _grouped(narrow.withColumns({"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}), labels).applyInPandas(lambda f: _across(f, p, q), f"a {kind}, b {kind}")
+                near = near if wide is None else near.union(_between(wide, p, q))
             rest = materialise(ordered(near).join(tried, ["a", "b"], "left_anti"), "rest")
             fresh = None if rest.isEmpty() else materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
             linked = fresh is not None and not fresh.isEmpty()
@@ -453,9 +503,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 labels = components(links)
             if number >= ROUNDS:
                 break
-            if linked:
-                mixed = _mixed(rows, labels, number + 1)
-            # pivots that link nothing: the members left are apart, or few
+            if linked and wide is not None:
+                wide = _mixed(wide.select("key", "a", "whole", "n", "sketch"), labels, number + 1)
+            # a round that links nothing: the members left are apart, or few
             tried, number = tried.union(rest), number + 1 if linked else ROUNDS
     # as a table of its own, so that Spark can split a digest that very many rows share
     named = materialise(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from laconic.llm import jaccard
@@ -98,10 +99,30 @@ def test_blocks_of_a_hot_bucket_are_dealt_by_themselves(spark, monkeypatch, bloc
     assert len({r.a for r in near}) == len(near) > 20 and {tuple(sorted(r)) for r in near} <= want
 
 
-def test_many_unlinked_members_of_large_buckets(spark, monkeypatch):
+def test_nearest_member_of_another_component(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.append(base[: 60 - k % 7], rng.integers(0, 1 << 63, k % 4, dtype=np.uint64)) for k in range(40)]
+    frame = pd.DataFrame({"key": 1, "a": range(40), "whole": [k % 5 > 0 for k in range(40)], "n": [len(x) for x in sets], "sketch": [jaccard.sketch(x) for x in sets], "c": [k % 9 for k in range(40)]})
+    bits = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in frame["sketch"]]
+
+    def apart(i, j):
+        d, n = int((bits[i] ^ bits[j]).sum()), frame["n"]
+        fits = frame["c"][i] != frame["c"][j] and (frame["whole"][i] or frame["whole"][j]) and 20 * min(n[i], n[j]) >= 17 * max(n[i], n[j])
+        return d if fits and d <= (n[i] + n[j]) * 15 // 185 else None
+
+    got = jaccard._nearest(frame.sample(frac=1, random_state=1), 85, 100).set_index("a")["b"]
+    for i in range(40):
+        near = [(apart(i, j), j) for j in range(40) if apart(i, j) is not None]
+        assert got[i] == min(near)[1] if near else got[i] is None
+    assert got.notna().any() and jaccard._nearest(frame.assign(c=3), 85, 100).empty
+
+
+@pytest.mark.parametrize("block", [5, 16, 2048])
+def test_many_unlinked_members_of_large_buckets(spark, monkeypatch, block):
     # a common passage and tails of their own: below the threshold, some linked in chains
     monkeypatch.setattr(jaccard, "SMALL", 3)
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(11)
     passage = [f"p{k}" for k in range(60)]
     docs = []
