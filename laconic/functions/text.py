@@ -116,19 +116,20 @@ def directory(path) -> Column:
 def fold_runs(text, least: int = 3) -> Column:
     """Runs of `least` or more equal lines become the line and a note; runs of blank lines stay."""
     least = max(2, least)
-    L = lines_lf(text)
-    state = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
-    def flush(s: Column) -> Column:
-        folded = (s["n"] >= least) & (trim(s["line"]) != "")
-        many = F.array(s["line"], F.concat(F.lit("[rtk:dropped "), (s["n"] - 1).cast("string"), F.lit(" repeated lines]")))
-        return F.when(s["line"].isNull(), s["out"]).when(folded, F.concat(s["out"], many)).otherwise(F.concat(s["out"], F.array_repeat(s["line"], s["n"])))
+    def folded(s: Column) -> Column:
+        L, first = s["L"], s["first"]
 
-    def step(s: Column, x: Column) -> Column:
-        same = s["line"].isNotNull() & (s["line"] == x)
-        return F.when(same, F.struct(s["line"].alias("line"), (s["n"] + 1).alias("n"), s["out"].alias("out"))).otherwise(F.struct(x.alias("line"), F.lit(1).alias("n"), flush(s).alias("out")))
+        def run(i: Column, j: Column) -> Column:
+            line, n = F.get(L, i), F.coalesce(F.get(first, j + 1), F.size(L)) - i
+            note = F.concat(F.lit("[rtk:dropped "), (n - 1).cast("string"), F.lit(" repeated lines]"))
+            return F.when((n >= least) & (trim(line) != ""), F.array(line, note)).otherwise(F.array_repeat(line, n))
 
-    return F.aggregate(L, state, step, lambda s: joined(flush(s)))
+        return joined(F.flatten(F.transform(first, run)))
+
+    first = lambda L: F.filter(F.sequence(F.lit(0), F.size(L) - 1), lambda i: (i == 0) | (F.get(L, i) != before(L, i)))
+    runs = let(lines_lf(text), lambda L: F.struct(L.alias("L"), first(L).alias("first")))
+    return F.when(col(text).isNotNull(), let(runs, folded))
 
 
 def rendered(array, keep) -> Column:
@@ -197,11 +198,12 @@ def first_of_each(array, pattern: str) -> Column:
     """Of the lines that match, the first for each trimmed text; other lines all stay."""
 
     def kept(s: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["L"]), F.lit(1))), lambda i: F.get(s["key"], i - 1).isNull() | (F.array_position(s["key"], F.get(s["key"], i - 1)) == i))
-        return F.filter(F.transform(at, lambda i: F.get(s["L"], i - 1)), lambda x: x.isNotNull())
+        fresh = F.filter(s, lambda x, j: x["key"].isNull() | (j == 0) | ~x["key"].eqNullSafe(before(s, j)["key"]))
+        return F.transform(F.sort_array(F.transform(fresh, lambda x: F.struct(x["i"].alias("i"), x["line"].alias("line")))), lambda x: x["line"])
 
-    keys = let(col(array), lambda L: F.struct(L.alias("L"), F.transform(L, lambda x: F.when(x.rlike(pattern), trim(x))).alias("key")))
-    return F.when(col(array).isNotNull(), let(keys, kept))
+    present = F.filter(col(array), lambda x: x.isNotNull())
+    keyed = F.transform(present, lambda x, i: F.struct(F.when(x.rlike(pattern), trim(x)).alias("key"), i.alias("i"), x.alias("line")))
+    return let(F.sort_array(keyed), kept)
 
 
 def before(L: Column, i: Column) -> Column:

@@ -91,6 +91,15 @@ def test_first_of_each_and_floor(df):
     hold(df, tx.safe_clean("t"), clean_by_hand)
 
 
+def test_many_lines(spark):
+    # distinct lines and a long run: work grows with the lines, not with their square
+    t = "\n".join([f"Line {k}" for k in range(60_000)] + ["same"] * 1000 + ["Line 7"])
+    df = spark.createDataFrame([(t,)], "t string")
+    got = df.select(tx.fold_runs("t").alias("folded"), tx.joined(tx.first_of_each(tx.lines_lf("t"), "^L")).alias("kept")).first()
+    assert got.folded == o.fold_runs(t)
+    assert got.kept == t.removesuffix("\nLine 7")
+
+
 def test_predicates(spark):
     rows = [("stderr | x", "x"), (" ERR: y", "y"), ("error: z", "error: z"), ("stderr", "stderr")]
     df = spark.createDataFrame(rows, "a string, b string")
