@@ -165,16 +165,6 @@ def normal(command) -> Column:
     return run(command)
 
 
-def found_command(text) -> Column:
-    """command_in() as a Column; only the first four lines travel to Python."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else command_in(t))
-
-    return run(F.substring_index(F.col(text) if isinstance(text, str) else text, "\n", 4))
-
-
 def keywords(command) -> Column:
     """search_terms() as a Column."""
 

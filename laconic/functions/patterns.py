@@ -7,6 +7,7 @@ references, `.` and `$` stop at \\n only, classes are Unicode.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 _LOOK = re.compile(r"\(\?(?:=|!|<=|<!)|(?<!\\)(?:\\\\)*\\[1-9]|\(\?P=")
 _FLAGS = re.compile(r"^\(\?([a-z]+)\)")
@@ -64,6 +65,39 @@ def python(pattern: str, flags: str = "") -> re.Pattern:
     return re.compile(body, value)
 
 
-def any_of(patterns: list[str], flags: str = "") -> str:
-    """One JVM pattern that matches where any of them does; each keeps its own flags."""
-    return "|".join(f"(?:{jvm(p, flags)})" for p in patterns)
+_parse = re._parser.parse
+
+
+def _needs(nodes, folded: bool) -> list[str] | None:
+    """Literals of which each match holds at least one; None if there is no such set."""
+    best, run = None, ""
+
+    def better(x, y):
+        return x if y is None or (x is not None and min(map(len, x)) > min(map(len, y))) else y
+
+    for op, arg in [*nodes, (None, None)]:
+        name = str(op)
+        if name == "LITERAL" and (not folded or arg < 128):
+            run += chr(arg)
+            continue
+        if run:
+            best, run = better([run], best), ""
+        if name == "SUBPATTERN":
+            best = better(_needs(arg[-1], folded), best)
+        elif name == "MAX_REPEAT" and arg[0] > 0:
+            best = better(_needs(arg[2], folded), best)
+        elif name == "BRANCH":
+            each = [_needs(x, folded) for x in arg[1]]
+            if all(each):
+                best = better([x for e in each for x in e], best)
+    return best
+
+
+@lru_cache(None)
+def needed(pattern: str) -> tuple[tuple[str, ...], bool]:
+    """(literals of which a match holds at least one, whether in lower case)."""
+    tree = _parse(pattern)
+    folded = bool(tree.state.flags & re.IGNORECASE)
+    found = _needs(list(tree), folded) or []
+    found = [x.lower() if folded else x for x in found]
+    return (tuple(found) if found and min(map(len, found)) > 1 else ()), folded

@@ -1,152 +1,60 @@
-"""Which command made an output, and which filter suits it.
+"""Which command made an output, and which filter suits it, as columns.
 
-Every detector becomes one integer expression, the best one is a
-`greatest`: a single narrow projection with literal patterns.  A content
-pattern is only tried on texts that hold a literal it needs.
+All of it is `operators.plain`, the form the output pipeline runs, in one
+narrow Arrow pass: hundreds of patterns are too many for generated code, and
+the JVM's regular expressions with classes of Unicode were some eighty times
+slower on the same texts.
 """
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laconic.functions import commands
-from laconic.functions.patterns import any_of, jvm
 from laconic.functions.text import col
+from laconic.operators import plain
 from laconic.rules import detectors
 from laconic.rules.filters import Filter
 
-_parse = re._parser.parse
-
-
-def _needs(nodes, folded: bool) -> list[str] | None:
-    """Literals of which each match holds at least one; None if there is no such set."""
-    best, run = None, ""
-
-    def better(x, y):
-        return x if y is None or (x is not None and min(map(len, x)) > min(map(len, y))) else y
-
-    for op, arg in [*nodes, (None, None)]:
-        name = str(op)
-        if name == "LITERAL" and (not folded or arg < 128):
-            run += chr(arg)
-            continue
-        if run:
-            best, run = better([run], best), ""
-        if name == "SUBPATTERN":
-            best = better(_needs(arg[-1], folded), best)
-        elif name == "MAX_REPEAT" and arg[0] > 0:
-            best = better(_needs(arg[2], folded), best)
-        elif name == "BRANCH":
-            each = [_needs(x, folded) for x in arg[1]]
-            if all(each):
-                best = better([x for e in each for x in e], best)
-    return best
-
-
-@lru_cache(None)
-def needed(pattern: str) -> tuple[tuple[str, ...], bool]:
-    """(literals of which a match holds at least one, whether in lower case)."""
-    tree = _parse(pattern)
-    folded = bool(tree.state.flags & re.IGNORECASE)
-    found = _needs(list(tree), folded) or []
-    found = [x.lower() if folded else x for x in found]
-    return (tuple(found) if found and min(map(len, found)) > 1 else ()), folded
-
-
-def contents_match(text: Column, lower: Column, pattern: str) -> Column:
-    literals, folded = needed(pattern)
-    test = text.rlike(jvm(pattern))
-    if not literals:
-        return test
-    held = F.lit(False)
-    for x in literals:
-        held = held | F.contains(lower if folded else text, F.lit(x))
-    return held & test
-
-
-def _scores(t: Column, lower: Column, c: Column) -> list[Column]:
-    """For each detector 100 * confidence (in hundredths) + 99 - its place, or -1."""
-    out = []
-    for place, (name, _, of_command, of_content) in enumerate(detectors.DETECTORS):
-        hit = c.rlike(any_of(of_command)) if of_command else F.lit(False)
-        if name == "file-read":
-            hit = hit | F.coalesce(_sed_reads(c), F.lit(False))
-        hit = F.coalesce(hit, F.lit(False))
-        n = F.lit(0)
-        for p in of_content:
-            n = n + contents_match(t, lower, p).cast("int")
-        score = lambda points, place=place: 100 * F.least(F.lit(100), points) + (99 - place)
-        out.append(F.when(hit, score(55 + 25 * n)).when(n >= 2, score(25 * n)).otherwise(F.lit(-1)))
-    return out
-
-
-def _apart(text, command, f) -> Column:
-    """f(text, lower-cased text, command) as one interpreted expression.
-
-    Hundreds of patterns in generated code make a method that the JVM
-    doesn't compile; a lambda's body is evaluated as it is, pattern by
-    pattern, each compiled once for a task.
-    """
-    t = col(text)
-    row = F.struct(t.alias("t"), F.lower(t).alias("l"), (col(command) if command is not None else F.lit(None).cast("string")).alias("c"))
-    return F.element_at(F.transform(F.array(row), lambda s: f(s["t"], s["l"], s["c"])), 1)
-
-
-def _sed_reads(command: Column) -> Column:
-    """sed that prints lines, not one that substitutes."""
-    low = F.lower(command)
-    substitutes = command.contains("s/") | command.contains("s#") | command.contains("s|")
-    prints = command.rlike(jvm(r"""(?i)(?:['"][^'"]*\d+,\d*p[^'"]*['"]|['"][^'"]*\d+p[^'"]*['"]|-e\s+['"]?\d)"""))
-    return low.startswith("sed") & ~substitutes & ~command.rlike(jvm(r"""(?i)['"][^'"]*s[/|#]""")) & (low.contains(" -n") | prints)
+FOUND = "command_type string, category string, confidence double, norm_command string"
+SIGNALS = "array<struct<command_type: string, signals: int>>"
 
 
 def detected(df: DataFrame, text: str = "text", command: str | None = None) -> DataFrame:
     """df with norm_command, command_type, category, confidence.
 
     command: a column with the command line (null or blank: it is looked for
-    on the first lines of the text).  Ties go to the earlier detector.
+    on the first lines of the text).  Ties go to the earlier detector; a null
+    text is one without signals.
     """
-    found = commands.found_command(text)
-    hint = F.nullif(commands.normal(F.col(command)), F.lit("")) if command else None
-    df = df.withColumn("norm_command", found if hint is None else F.coalesce(hint, found))
-    df = df.withColumn("_best", _apart(text, "norm_command", lambda t, low, c: F.greatest(*_scores(t, low, c))))
-    place = (99 - F.pmod("_best", F.lit(100)) + 1).cast("int")
-    names, kinds = F.array(*[F.lit(d[0]) for d in detectors.DETECTORS]), F.array(*[F.lit(d[1]) for d in detectors.DETECTORS])
-    known = F.col("_best") >= 0
-    return df.withColumns({
-        "command_type": F.when(known, F.element_at(names, place)).otherwise(F.lit("unknown")),
-        "category": F.when(known, F.element_at(kinds, place)).otherwise(F.lit("generic")),
-        "confidence": F.when(known, F.floor(F.col("_best") / 100) / 100.0).otherwise(F.when(F.col("norm_command").isNotNull(), F.lit(0.35)).otherwise(F.lit(0.1))),
-    }).drop("_best")
+
+    @F.pandas_udf(FOUND)
+    def run(s: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([plain.detect(t or "", c) for t, c in zip(s["t"], s["c"], strict=True)], columns=["command_type", "category", "confidence", "norm_command"])
+
+    known = F.col(command) if command else F.lit(None).cast("string")
+    df = df.withColumn("_found", run(F.struct(F.col(text).alias("t"), known.alias("c"))))
+    return df.withColumns({c: F.col(f"_found.{c}") for c in ("norm_command", "command_type", "category", "confidence")}).drop("_found")
 
 
 def content_scores(text) -> Column:
-    """Array of (type, signals) for the detectors whose content patterns match."""
+    """Array of (type, signals) for the detectors whose content patterns match; null for a null text."""
+    names = [d[0] for d in detectors.DETECTORS]
 
-    def each(t: Column, low: Column, _: Column) -> Column:
-        return F.array(*[F.struct(F.lit(d[0]).alias("command_type"), sum((contents_match(t, low, p).cast("int") for p in d[3]), F.lit(0)).alias("signals")) for d in detectors.DETECTORS if d[3]])
+    @F.pandas_udf(SIGNALS)
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else [{"command_type": x, "signals": n} for x, n in zip(names, plain.signals(t), strict=True) if n])
 
-    return F.filter(_apart(text, None, each), lambda s: s["signals"] > 0)
+    return run(col(text))
 
 
 def filter_id(filters: list[Filter], text="text", command_type="command_type", command="norm_command") -> Column:
     """The best filter: by type, else by command, else by content (known types only), else the generic one."""
-    t, kind, c = col(text), col(command_type), col(command)
-    by_type: dict[str, str] = {}
-    for f in filters:
-        for x in f.types:
-            by_type.setdefault(x, f.id)
-    tiers = [F.element_at(F.create_map(*[F.lit(x) for pair in by_type.items() for x in pair]), kind)] if by_type else []
-    chain = F.lit(None).cast("string")
-    for f in reversed([f for f in filters if f.commands]):
-        chain = F.when((c != "") & c.rlike(any_of(list(f.commands))), F.lit(f.id)).otherwise(chain)
-    tiers.append(chain)
-    chain = F.lit(None).cast("string")
-    for f in reversed([f for f in filters if f.contents]):
-        chain = F.when((kind != "unknown") & t.rlike(any_of(list(f.contents), "im")), F.lit(f.id)).otherwise(chain)
-    tiers += [chain, F.lit(by_type.get("generic-output")).cast("string")]
-    return F.coalesce(*tiers)
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, kind: pd.Series, c: pd.Series) -> pd.Series:
+        found = [plain.choose(filters, *x) for x in zip(t, kind, c, strict=True)]
+        return pd.Series([f and f.id for f in found], dtype=object)
+
+    return run(F.coalesce(col(text), F.lit("")), col(command_type), col(command))

@@ -7,12 +7,12 @@ needs, so most of the patterns cost one substring search.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from laconic.config import SHORT_BYTES, SHORT_NEWLINES, EngineConfig
 from laconic.functions import commands
-from laconic.functions.patterns import python
+from laconic.functions.patterns import needed, python
 from laconic.operators import outputs
-from laconic.operators.detect import needed
 from laconic.rules import detectors
 from laconic.rules.filters import Filter, combined
 
@@ -31,13 +31,26 @@ class Output:
     grouped: bool
 
 
+@lru_cache(4096)
+def _of_command(c: str) -> tuple[bool, ...]:
+    """Whether each detector knows the command."""
+    return tuple(any(p.search(c) for p in patterns) or (d[0] == "file-read" and commands.reads_with_sed(c)) for patterns, d in zip(_COMMAND, detectors.DETECTORS, strict=True))
+
+
+def signals(text: str) -> list[int]:
+    """Number of each detector's content patterns that match."""
+    low = text.lower()
+    return [sum((not literals or any(x in (low if folded else text) for x in literals)) and p.search(text) is not None for literals, folded, p in patterns) for patterns in _CONTENT]
+
+
+_NO_COMMAND = (False,) * len(_COMMAND)
+
+
 def detect(text: str, command: str | None = None) -> tuple[str, str, float, str | None]:
     """(type, category, confidence, normal command)."""
     c = (commands.normalise(command) if command is not None else None) or commands.command_in(text)
-    best, at, low = -1, -1, text.lower()
-    for i, d in enumerate(detectors.DETECTORS):
-        hit = c is not None and (any(p.search(c) for p in _COMMAND[i]) or (d[0] == "file-read" and commands.reads_with_sed(c)))
-        n = sum((not literals or any(x in (low if folded else text) for x in literals)) and p.search(text) is not None for literals, folded, p in _CONTENT[i])
+    best, at = -1, -1
+    for i, (hit, n) in enumerate(zip(_NO_COMMAND if c is None else _of_command(c), signals(text), strict=True)):
         points = min(100, 55 * hit + 25 * n)
         if (hit or points >= 50) and points > best:
             best, at = points, i

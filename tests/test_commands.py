@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from laconic.functions import commands as c
-from laconic.functions.patterns import jvm, lint, python
+from laconic.functions.patterns import jvm, lint, needed, python
 from laconic.operators import detect, plain
 from laconic.rules import detectors
 from laconic.rules.condense import RULES
@@ -43,13 +43,13 @@ def test_detect(text, command, kind):
     assert plain.detect(text, command)[0] == kind
 
 
-def test_detection_in_the_jvm_is_the_same(spark):
+def test_detection_as_columns_is_the_same(spark):
     texts = ["", "plain", "On branch main\nUntracked files:\n", "commit 0123456789\nAuthor: x", "running 3 tests\ntest a ... ok\ntest result: ok", '[{"a": 1}]', "src/a.py:3:\nlib/b.go:4:", "Traceback (most recent call last):\n  File \"x\", line 3\nImportError", "● a.service\n Loaded: x\n Active: y", "diff --git a b\n@@ -1,2 +3,4 @@", "é * main\n* x\nSwitched to branch 'a'"]
     cmds = [None, "", "git status", "sed '1,3p' x", "sed 's/a/b/' x", "cargo test", "python3 x.py", "g++ a.c", "clang++ a.c", "weird", "bash -c 'npm test'"]
-    rows = [(t, k) for t in texts for k in cmds]
+    rows = [(t, k) for t in [*texts, None] for k in cmds]
     df = spark.createDataFrame(rows, "text string, cmd string")
     for r in detect.detected(df, "text", "cmd").collect():
-        assert (r.command_type, r.category, r.confidence, r.norm_command) == plain.detect(r.text, r.cmd), r
+        assert (r.command_type, r.category, r.confidence, r.norm_command) == plain.detect(r.text or "", r.cmd), r
 
 
 @pytest.mark.parametrize(
@@ -84,7 +84,7 @@ def test_one_dialect(spark, pattern, text, matches):
 
 
 def test_needed_literals():
-    assert detect.needed(r"(?m)^On branch ") == (("On branch ",), False)
-    assert detect.needed(r"(?i)Plan: \d+ to add") == ((" to add",), True)
-    assert detect.needed(r"(?:abc|de)x?") == (("abc", "de"), False)
-    assert detect.needed(r"[ab]+")[0] == ()
+    assert needed(r"(?m)^On branch ") == (("On branch ",), False)
+    assert needed(r"(?i)Plan: \d+ to add") == ((" to add",), True)
+    assert needed(r"(?:abc|de)x?") == (("abc", "de"), False)
+    assert needed(r"[ab]+")[0] == ()
