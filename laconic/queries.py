@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from laconic.config import CHAR_BUDGET, EngineConfig
 from laconic.functions import commands
 from laconic.functions import text as tx
-from laconic.operators import detect, hints, outputs, stats
+from laconic.operators import detect, hints, outputs, pages, stats
 from laconic.operators.condense import condensed, rules
 from laconic.plans import audit
 from laconic.plans.compress import compressed
 from laconic.plans.requests import processed
 from laconic.rules import detectors
-from laconic.rules.filters import builtin
-from laconic.sources import requests
+from laconic.rules.filters import Filter, builtin
+from laconic.sources import requests, sessions, state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -354,7 +354,7 @@ TTL = 3600
 
 
 @query(f"""
-WITH e AS (SELECT event_id, user_id, epoch(ts) // 1 AS t, CASE WHEN event_type = 'click' THEN 'c' || event_id END AS c FROM events),
+WITH e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, CASE WHEN event_type = 'click' THEN 'c' || event_id END AS c FROM events),
 w AS (SELECT *, last_value(CASE WHEN c IS NOT NULL THEN {{'t': t, 'v': c}} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM e)
 SELECT event_id, CASE WHEN t - s.t <= {TTL * 24} THEN s.v END AS c_as_of FROM w
 """)
@@ -367,13 +367,13 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("t", F.unix_timestamp("ts"))
 
 
-@query(f"WITH e AS (SELECT user_id, epoch(ts) // 1 AS t FROM events), g AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM e) SELECT user_id, CAST(count(*) FILTER (WHERE gap <= {TTL * 24}) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE NOT coalesce(gap <= {TTL * 24}, false)) AS BIGINT) AS misses FROM g GROUP BY user_id")
+@query(f"WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), g AS (SELECT user_id, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM e) SELECT user_id, CAST(count(*) FILTER (WHERE gap <= {TTL * 24}) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE NOT coalesce(gap <= {TTL * 24}, false)) AS BIGINT) AS misses FROM g GROUP BY user_id")
 def cache_sim_sliding_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = stats.cache_hits(_timed(spark, sf_dir).select("user_id", "t"), ["user_id"], "t", TTL * 24)
     return h.groupBy("user_id").agg(F.sum(F.col("is_hit").cast("long")).alias("hits"), F.sum((~F.col("is_hit")).cast("long")).alias("misses"))
 
 
-@query(f"WITH e AS (SELECT user_id, epoch(ts) // 1 AS t FROM events), g AS (SELECT coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= {TTL * 24}, false) AS hit FROM e) SELECT CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE NOT hit) AS BIGINT) AS misses, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS hit_rate_pct FROM g")
+@query(f"WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events), g AS (SELECT coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= {TTL * 24}, false) AS hit FROM e) SELECT CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE NOT hit) AS BIGINT) AS misses, round(100.0 * count(*) FILTER (WHERE hit) / count(*), 1) AS hit_rate_pct FROM g")
 def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.hit_rate(stats.cache_hits(_timed(spark, sf_dir).select("user_id", "t"), ["user_id"], "t", TTL * 24))
 
@@ -539,6 +539,225 @@ def request_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return processed(b).select(F.col("key").alias("request_id"), "dialect", "original", F.size("per_command").cast("long").alias("tools"))
 
 
+#: Texts cut into short lines at commas, so that most have many of them.
+SQL_PHRASES = "SELECT doc_id, unnest(string_split(replace(text, ', ', chr(10)), chr(10))) AS x, generate_subscripts(string_split(replace(text, ', ', chr(10)), chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL"
+
+
+def _grouped(how: Callable, shaped: Callable):
+    """how(lines) over the phrases of each text, shaped(x, i) being the line made of phrase x at place i."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = F.pandas_udf(lambda s: s.map(how), "string")
+        lines = F.transform(F.split(F.replace("text", F.lit(", "), F.lit("\n")), "\n", -1), shaped)
+        return documents(spark, sf_dir).select("doc_id", out(lines).alias("grouped"))
+
+    return run
+
+
+def _sql_shaped(period: int, shapes: dict[int, str]) -> str:
+    """l: the shaped lines, k: those with s, the line without white space at its ends."""
+    cases = " ".join(f"WHEN {at} THEN {shape}" for at, shape in shapes.items())
+    return f"p AS ({SQL_PHRASES}), l AS (SELECT doc_id, i, CASE i % {period} {cases} ELSE x END AS line FROM p), k AS (SELECT *, regexp_replace(line, {SQL_TRIM}, '', 'g') AS s FROM l)"
+
+
+def _re(pattern) -> str:
+    return q(re2(pattern.pattern.replace(r"\Z", r"\z")))
+
+
+SQL_LISTED = f"CASE WHEN regexp_matches(s, {_re(outputs.LONG_STATUS)}) THEN regexp_extract(s, {_re(outputs.LONG_STATUS)}, 1) WHEN regexp_matches(s, {_re(outputs.SHORT_STATUS)}) THEN regexp_extract(s, {_re(outputs.SHORT_STATUS)}, 2) WHEN regexp_matches(s, {_re(outputs.ROOTED)}) THEN s END"
+
+
+@query(f"""
+WITH {_sql_shaped(5, {0: "chr(9) || 'modified:   d' || (length(x) % 3) || '/f' || i", 1: "' M d' || (length(x) % 5) || '/sub/f' || i", 2: "'./top' || i", 3: "''"})},
+f AS (SELECT *, {SQL_LISTED} AS path FROM k),
+d AS (SELECT doc_id, CASE WHEN contains(path, '/') THEN regexp_replace(regexp_replace(path, {SQL_TRIM}, '', 'g'), '/[^/]*$', '') ELSE '.' END AS dir, count(*) AS n FROM f WHERE path IS NOT NULL GROUP BY ALL),
+g AS (SELECT doc_id, sum(n) AS files, count(*) AS dirs, list('  ' || dir || ' (' || n || CASE WHEN n > 1 THEN ' files)' ELSE ' file)' END ORDER BY dir) AS listed FROM d GROUP BY doc_id),
+r AS (SELECT doc_id, list(line ORDER BY i) FILTER (WHERE path IS NULL AND s <> '') AS rest FROM f GROUP BY doc_id)
+SELECT doc_id, CASE WHEN files >= 5 AND dirs >= 2 THEN array_to_string(list_concat(coalesce(rest, []), ['[rtk:grouped ' || files || ' files across ' || dirs || ' directories]'], listed), chr(10)) END AS grouped FROM r LEFT JOIN g USING (doc_id)
+""")
+def group_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shaped(x: Column, i: Column) -> Column:
+        n, at = F.length(x), i.cast("string")
+        long = F.concat(F.lit("\tmodified:   d"), (n % 3).cast("string"), F.lit("/f"), at)
+        short = F.concat(F.lit(" M d"), (n % 5).cast("string"), F.lit("/sub/f"), at)
+        return F.when(i % 5 == 0, long).when(i % 5 == 1, short).when(i % 5 == 2, F.concat(F.lit("./top"), at)).when(i % 5 == 3, "").otherwise(x)
+
+    return _grouped(outputs.group_files, shaped)(spark, sf_dir)
+
+
+@query(f"""
+WITH {_sql_shaped(8, {0: "'PASS ' || x", 1: "' FAIL ' || x", 4: "''", 6: "'Tests: 3 passed'", 7: "chr(10003) || ' ' || x"})},
+c AS (SELECT *, CASE WHEN regexp_matches(s, {_re(outputs.TEST_SUMMARY)}) THEN 'summary' WHEN regexp_matches(s, {_re(outputs.TEST_FAIL)}) THEN 'fail' WHEN regexp_matches(s, {_re(outputs.TEST_PASS)}) THEN 'pass' WHEN s = '' THEN 'blank' END AS own FROM k),
+w AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM c),
+t AS (SELECT *, CASE WHEN own IS NOT NULL THEN own WHEN since = 'fail' THEN 'fail' ELSE 'context' END AS kind FROM w),
+g AS (SELECT doc_id, {", ".join(f"coalesce(list(line ORDER BY i) FILTER (WHERE kind = '{x}'), []) AS l_{x}" for x in ("context", "fail", "pass", "summary"))} FROM t GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(l_fail) + len(l_pass) >= 3 THEN array_to_string(list_concat(l_context, CASE WHEN len(l_fail) > 0 THEN list_prepend('[rtk:test-failures ' || len(l_fail) || ']', l_fail) ELSE [] END, CASE WHEN len(l_pass) > 0 THEN ['[rtk:test-passed ' || len(l_pass) || ' tests]'] ELSE [] END, l_summary), chr(10)) END AS grouped FROM g
+""")
+def group_test_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = {0: "PASS ", 1: " FAIL ", 7: "✓ "}
+
+    def shaped(x: Column, i: Column) -> Column:
+        out = F.when(i % 8 == 4, "").when(i % 8 == 6, "Tests: 3 passed")
+        for at, head in heads.items():
+            out = out.when(i % 8 == at, F.concat(F.lit(head), x))
+        return out.otherwise(x)
+
+    return _grouped(outputs.group_tests, shaped)(spark, sf_dir)
+
+
+@query(f"""
+WITH {_sql_shaped(6, {0: "'error: ' || x", 1: "'a.c:1: Warning: ' || x", 2: "'note: ' || x", 3: "' '"})},
+c AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(s, {_re(p)}) THEN '{name}'" for name, p in outputs.BUILD)} ELSE 'other' END AS kind FROM k WHERE s <> ''),
+g AS (SELECT doc_id, {", ".join(f"coalesce(list(line ORDER BY i) FILTER (WHERE kind = '{x}'), []) AS l_{x}" for x in ("other", "errors", "warnings", "info"))} FROM c GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(l_errors) + len(l_warnings) + len(l_info) >= 3 THEN array_to_string(list_concat(l_other, CASE WHEN len(l_errors) > 0 THEN list_prepend('[rtk:build-errors ' || len(l_errors) || ']', l_errors) ELSE [] END,
+  CASE WHEN len(l_warnings) > 0 THEN list_prepend('[rtk:build-warnings ' || len(l_warnings) || ']', l_warnings[1:10]) ELSE [] END, CASE WHEN len(l_warnings) > 10 THEN ['  ... and ' || (len(l_warnings) - 10) || ' more warnings'] ELSE [] END, CASE WHEN len(l_info) > 0 THEN ['[rtk:build-info ' || len(l_info) || ' messages]'] ELSE [] END), chr(10)) END AS grouped
+FROM (SELECT DISTINCT doc_id FROM p) LEFT JOIN g USING (doc_id)
+""")
+def group_build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = {0: "error: ", 1: "a.c:1: Warning: ", 2: "note: "}
+
+    def shaped(x: Column, i: Column) -> Column:
+        out = F.when(i % 6 == 3, " ")
+        for at, head in heads.items():
+            out = out.when(i % 6 == at, F.concat(F.lit(head), x))
+        return out.otherwise(x)
+
+    return _grouped(outputs.group_build, shaped)(spark, sf_dir)
+
+
+#: A filter with every kind of rule the line stages know.
+RULED = Filter(id="ruled", strip_ansi=True, strip_stderr=True, replace=((r"(\w+) (the|und|de)\b", "$2 ${1}"), (r"\d", "#")), answers=((r"^[A-D]\w+ \w+$", "short head", "licensed"), ("licensed", "a licence", None)), drop=("^(?:an|ein|un)", "^.{45,}$"), include=("[kwxz]",), collapse=(r"^\W*\w+$",), keep=("ing",), line_chars=60, max_lines=9, head=3, tail=3, on_empty="nothing")
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN i = 0 THEN chr(27) || '[31merr: ' || x ELSE x END, {q(tx.CSI)}, '', 'g'), {q(re2(tx.STDERR))}, ''), {q(re2(RULED.replace[0][0], edges=False).replace(chr(92) + "b", f"([^{RE2['w']}]|" + chr(92) + "z)"))}, '\\2 \\1\\3', 'g'), '\\p{{Nd}}', '#', 'g') AS line FROM ({SQL_PHRASES})),
+b AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS blob FROM l GROUP BY doc_id),
+a AS (SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(blob, {q('(?im)' + re2(p))})" + (f" AND NOT regexp_matches(blob, {q('(?im)' + re2(u))})" if u else "") + f" THEN {q(m)}" for p, m, u in RULED.answers)} END AS answer FROM b),
+d AS (SELECT *, regexp_matches(line, {q("(?i)" + re2(RULED.include[0]))}) AS inc FROM l WHERE NOT regexp_matches(line, {q("(?i)" + re2("|".join(RULED.drop)))})),
+n AS (SELECT *, bool_or(inc) OVER (PARTITION BY doc_id) AS any_inc, regexp_matches(line, {q("(?i)" + re2(RULED.collapse[0]))}) AS col, regexp_replace(line, {SQL_TRIM}, '', 'g') AS s FROM d),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, col, s ORDER BY i) AS nth FROM n WHERE inc OR NOT any_inc),
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos, count(*) OVER (PARTITION BY doc_id) AS n, CASE WHEN length(line) <= 60 THEN line ELSE left(line, 57) || '...' END AS line FROM e WHERE NOT col OR nth = 1),
+t AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM c WHERE n <= 9 OR pos <= 3 OR pos > n - 3 OR regexp_matches(line, '(?i)ing')),
+o AS (SELECT doc_id, {SQL_RENDER} AS cut FROM t GROUP BY doc_id)
+SELECT doc_id, coalesce(answer, CASE WHEN regexp_matches(coalesce(cut, ''), {SQL_FILLED}) THEN cut ELSE 'nothing' END) AS ruled FROM a LEFT JOIN o USING (doc_id)
+""")
+def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = F.pandas_udf(lambda s: s.map(lambda t: outputs.filter_lines(t, RULED)), "string")
+    return documents(spark, sf_dir).select("doc_id", run(F.concat(F.lit("\x1b[31merr: "), F.replace("text", F.lit(", "), F.lit("\n")))).alias("ruled"))
+
+
+SQL_CALLED = "m AS (SELECT conv_id AS request_id, turn AS pos, nullif('f' || (length(text) % 4), 'f0') AS filter_id, CASE WHEN turn % 3 > 0 THEN 'c' || (turn % 3) END AS command_type, length(text) % 97 AS original, length(text) % 89 AS compressed, conv_id % 5 > 0 AS modified FROM conversations WHERE text IS NOT NULL)"
+
+
+@query(f"""
+WITH {SQL_CALLED}, u AS (SELECT request_id, filter_id, min(pos) AS pos FROM m WHERE command_type IS NOT NULL AND filter_id IS NOT NULL GROUP BY ALL), f AS (SELECT request_id, string_agg(filter_id, ',' ORDER BY pos) AS filters FROM u GROUP BY ALL),
+r AS (SELECT request_id, CAST(sum(original) AS BIGINT) AS o, CAST(sum(compressed) AS BIGINT) AS c, bool_or(modified) AS modified, coalesce(string_agg(command_type || ':' || original || '->' || compressed || ',', '' ORDER BY pos) FILTER (WHERE command_type IS NOT NULL), '') AS each FROM m GROUP BY request_id)
+SELECT request_id, modified AND c < o AS saves, CASE WHEN c < o THEN CAST(o AS VARCHAR) END AS h_original, CASE WHEN c < o THEN CAST(c AS VARCHAR) END AS h_compressed, CASE WHEN c < o THEN coalesce(filters, '') END AS h_filters, CASE WHEN c < o THEN left(each, 64) END AS h_commands FROM r LEFT JOIN f USING (request_id)
+""")
+def response_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, turn = F.length("text"), F.col("turn")
+    m = table(spark, sf_dir, "conversations").where("text is not null").select(
+        F.col("conv_id").alias("request_id"), turn.alias("pos"), F.nullif(F.concat(F.lit("f"), (n % 4).cast("string")), F.lit("f0")).alias("filter_id"), F.when(turn % 3 > 0, F.concat(F.lit("c"), (turn % 3).cast("string"))).alias("command_type"),
+        (n % 97).alias("original"), (n % 89).alias("compressed"), (F.col("conv_id") % 5 > 0).alias("modified"),
+    )
+    return stats.headers(stats.by_request(m), most_bytes=64).select("request_id", "saves", "h_original", "h_compressed", "h_filters", "h_commands")
+
+
+@query(f"""
+WITH {SQL_FACTS}, s AS (SELECT *, greatest(original - compressed, 0) AS saved FROM f)
+SELECT 'totals' AS section, 'messages' AS name, count(*) AS hits, CAST(sum(saved) AS BIGINT) AS saved, printf('%.1f', 100.0 * CAST(sum(saved) AS DOUBLE) / CAST(sum(original) AS DOUBLE)) AS note FROM s
+UNION ALL SELECT * FROM (SELECT 'filters', coalesce(filter_id, 'none') AS x, count(*) AS n, NULL, NULL FROM s GROUP BY x ORDER BY n DESC, x LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'commands', command_type AS x, count(*) AS n, CAST(sum(saved) AS BIGINT), NULL FROM s GROUP BY x ORDER BY n DESC, x LIMIT 20)
+""")
+def stats_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.stats_page(_facts(spark, sf_dir))
+
+
+def _recent(grain: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pages.recent(_event_facts(spark, sf_dir), grain)
+
+    run.__name__ = f"recent_{grain}s"
+    return run
+
+
+for _grain in ("hour", "day"):
+    query(f"WITH {SQL_EVENTS} {_sql_series(_grain)} ORDER BY 1 DESC LIMIT {pages.LAST[_grain]}")(_recent(_grain))
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, ['Original token count: ' || doc_id || chr(10) || 'Output:' || chr(10), 'Output:' || chr(10), 'Original token count:  x' || chr(10), ''][CAST(doc_id % 4 AS INTEGER) + 1] AS head FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id END AS header, md5(CASE WHEN doc_id % 4 < 2 THEN text ELSE head || text END) AS body FROM d
+""")
+def output_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.pmod("doc_id", F.lit(4))
+    count = F.concat(F.lit("Original token count: "), F.col("doc_id").cast("string"), F.lit("\nOutput:\n"))
+    whole = F.concat(F.when(k == 0, count).when(k == 1, "Output:\n").when(k == 2, "Original token count:  x\n").otherwise(""), "text")
+    return documents(spark, sf_dir).select("doc_id", audit.header_tokens(whole).alias("header"), F.md5(audit.body(whole)).alias("body"))
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as the lines of session logs: users' turns are calls, assistants' are outputs, ids come again every eight turns."""
+    c = table(spark, sf_dir, "conversations")
+    call = F.concat_ws("-", F.col("conv_id").cast("string"), F.floor(F.pmod("turn", F.lit(8)) / 2).cast("string"))
+    asked = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.array(F.lit("cat"), F.concat(F.lit("f"), F.col("turn").cast("string"))).alias("command")))).otherwise(F.to_json(F.struct(F.col("text").alias("cmd"))))
+    name = F.when(F.col("conv_id") % 7 == 0, "other_tool").when(F.col("conv_id") % 2 == 0, "exec_command").otherwise("shell_command")
+    body = F.concat(F.lit("Original token count: "), F.col("turn").cast("string"), F.lit("\nOutput:\n"), "text")
+    item = F.when(F.col("role") == "user", F.to_json(F.struct(F.lit("function_call").alias("type"), name.alias("name"), call.alias("call_id"), asked.alias("arguments")))).when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("function_call_output").alias("type"), call.alias("call_id"), body.alias("output")))).otherwise('{"type": "message"}')
+    inner = F.when(F.col("turn") % 4 < 2, item).otherwise(F.concat(F.lit('{"item":'), item, F.lit("}")))
+    line = F.when(F.col("turn") % 16 == 15, "not json").otherwise(F.concat(F.lit('{"type":"response_item","payload":'), inner, F.lit("}")))
+    return c.select(F.col("conv_id").cast("string").alias("file"), F.struct(F.lit(0).cast("long").alias("block"), F.col("turn").cast("long").alias("line")).alias("place"), line.alias("value"))
+
+
+SQL_LOG = f"""c AS (SELECT conv_id, turn, conv_id || '-' || (turn % 8 // 2) AS call_id, role, text, CASE WHEN turn % 3 = 0 THEN 'cat' || chr(10) || 'f' || turn WHEN regexp_matches(text, {SQL_FILLED}) THEN text END AS command FROM conversations WHERE turn % 16 <> 15),
+calls AS (SELECT * FROM c WHERE role = 'user' AND conv_id % 7 <> 0), outs AS (SELECT * FROM c WHERE role = 'assistant')"""
+
+
+@query(f"""
+WITH {SQL_LOG}, a AS (SELECT call_id, arg_max(command, turn) AS command FROM calls WHERE command IS NOT NULL GROUP BY call_id), o AS (SELECT call_id, max(turn) AS turn FROM outs GROUP BY call_id)
+SELECT call_id, md5(a.command) AS command, md5(coalesce(text, '')) AS output, CASE WHEN text IS NOT NULL THEN CAST(o.turn AS BIGINT) END AS header_tokens FROM a JOIN o USING (call_id) JOIN outs USING (call_id, turn)
+""")
+def session_log_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.paired(sessions.items(_log(spark, sf_dir))).select("call_id", F.md5("command").alias("command"), F.md5("output").alias("output"), "header_tokens")
+
+
+@query(f"WITH {SQL_LOG}, a AS (SELECT DISTINCT call_id FROM calls WHERE command IS NOT NULL), o AS (SELECT DISTINCT call_id FROM outs) SELECT (SELECT count(*) FROM calls) AS exec_calls, (SELECT count(*) FROM o JOIN a USING (call_id)) AS paired, (SELECT count(*) FROM o ANTI JOIN a USING (call_id)) AS orphan_outputs")
+def session_log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.pairing_counts(sessions.items(_log(spark, sf_dir)))
+
+
+@query("""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, coalesce(w[1], 'q') AS a, coalesce(w[2], 'q') AS b, coalesce(w[3], 'q') AS c, coalesce(w[4], 'q') AS d FROM w),
+l AS (SELECT doc_id, list_concat(list_filter([a, b], lambda x: length(x) >= 3), list_filter([c, d], lambda x: length(x) >= 2)) AS l FROM t)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS terms FROM l
+""")
+def search_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = lambda k: F.coalesce(F.get(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), F.lit(k)), F.lit("q"))
+    script = F.concat(F.lit("# looks\nLC_ALL=C /usr/bin/rg -n '"), word(0), F.lit("|"), word(1), F.lit("' src && grep -e "), word(2), F.lit(" x | ag ./lib "), word(3))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(commands.keywords(script), " ").alias("terms"))
+
+
+@query("""
+WITH e AS (SELECT user_id % 50 AS s, 'c' || event_id AS c, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id, event_id % 2 = 0 AS fresh FROM events WHERE event_type = 'click'),
+l AS (SELECT s, fresh, arg_max(c, (t, c)) AS c, max(t) AS t FROM e WHERE s % 3 > 0 OR NOT fresh GROUP BY ALL)
+SELECT s AS session_id, c AS command, CAST(t AS BIGINT) AS updated_at FROM l WHERE fresh OR s NOT IN (SELECT s FROM l WHERE fresh)
+""")
+def session_state_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _timed(spark, sf_dir).where("event_type = 'click'").select(F.pmod("user_id", F.lit(50)).cast("long").alias("session_id"), F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("command"), F.col("t").alias("updated_at"), (F.col("event_id") % 2 == 0).alias("fresh"))
+    fresh, stored = e.where("fresh and session_id % 3 > 0").drop("fresh"), state.latest(e.where("not fresh").drop("fresh"))
+    return state.merge(fresh, stored)
+
+
+#: Filters that only their content tells apart; the first one wins where both match.
+BY_CONTENT = [Filter(id="licensed", contents=(r"^licensed\b",)), Filter(id="heading", contents=(r"^[A-Z]\w+\.$",)), Filter(id="rest", types=("generic-output",))]
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'rest' WHEN regexp_matches(text, {q('(?im)' + re2('^licensed(?:[^' + RE2['w'] + ']|' + chr(92) + 'z)'))}) THEN 'licensed' WHEN regexp_matches(text, {q('(?im)' + re2(BY_CONTENT[1].contents[0]))}) THEN 'heading' ELSE 'rest' END AS filter_id FROM documents WHERE text IS NOT NULL")
+def filter_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).withColumns({"command_type": F.when(F.col("doc_id") % 3 == 0, "unknown").otherwise("make"), "norm_command": F.lit("make")})
+    return d.select("doc_id", detect.filter_id(BY_CONTENT).alias("filter_id"))
+
+
 # queries without SQL: sequential by nature; tests hold them against plain Python
 
 
