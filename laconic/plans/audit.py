@@ -173,7 +173,8 @@ def under_compressed(m: DataFrame) -> DataFrame:
 
 
 def offenders(m: DataFrame, k: int = 25) -> DataFrame:
-    return m.where(_under()).select("out_tokens", "command_type", F.substring(F.substring_index("command", "\n", 1), 1, 70).alias("command"), "orig_tokens").orderBy(F.desc("out_tokens"), "command_type", "command").limit(k)
+    """The k largest of these outputs; of outputs equal in size, type and command those that shrank least, so that the order of the rows doesn't matter."""
+    return m.where(_under()).select("out_tokens", "command_type", F.substring(F.substring_index("command", "\n", 1), 1, 70).alias("command"), "orig_tokens").orderBy(F.desc("out_tokens"), "command_type", "command", "orig_tokens").limit(k)
 
 
 # Heads of commands that no detector knows, by kind.

@@ -110,3 +110,14 @@ def test_prefixes_of_every_line(spark, small):
     got = {r.doc_id: r.stripped for r in same_as_sql(spark, small, "stderr_prefix")}
     assert got == {i: "\n".join(strip(head[i % 3] + x) for x in t.split("\n")) for i, t in enumerate(TEXTS) if t is not None}
     assert got[2].count("\n") == TEXTS[2].count("\n") > 0
+
+
+def test_top_offenders_do_not_follow_the_order_of_rows(spark, tmp_path):
+    # equal in size, type and command; five more than the limit
+    rows = [(15 * i + 2, "x" * (12001 + 40 * i)) for i in range(30)]
+    got = []
+    for name, order in (("up", rows), ("down", rows[::-1])):
+        spark.createDataFrame(order, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got.append([tuple(r) for r in QUERIES["under_compression_top"](spark, f"{tmp_path}/{name}").collect()])
+    every = duckdb.connect().execute(f"create view documents as select * from '{tmp_path}/up/documents.parquet/*.parquet'").execute(ORACLE["under_compression_top"].replace("LIMIT 25", "")).fetchall()
+    assert len(every) == 30 and got[0] == got[1] == sorted(every, key=lambda r: (-r[0], r[1:]))[:25]
