@@ -24,8 +24,10 @@ first member.  Then, in a few rounds, members of large buckets that still
 hold several components each get one candidate: in a bucket that fits into a
 block (`BLOCK`, `BLOCK_BYTES`) the nearest member of another component, found
 within one group of bounded size; in a wider one the nearest of some pivots
-of the bucket.  A round writes one pair a member at most, and buckets that
-have become one component leave.  Last, what is left is compared in full: a
+of the bucket.  A round writes one pair a member at most.  Members without a
+candidate leave their bucket (the relation is symmetric, so nobody misses
+them, and merged components only make it smaller), and with them buckets that
+have become one component.  Last, what is left is compared in full: a
 bucket within a block as one group, of a wider one the members outside its
 largest component with all others, in pairs of blocks of bounded size, each
 of them a group of its own.  Before any text moves,
@@ -343,6 +345,17 @@ def _nearest(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
     return frame.drop(columns="c").assign(b=b)
 
 
+def _reached(frame: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
+    """Of `_nearest` the members with a partner.
+
+    They hold all plausible pairs of different components that the bucket has
+    now or later: both sides of such a pair have a partner, merged components
+    only take pairs away, and so do the wider sketches of the members left.
+    """
+    met = _nearest(frame, p, q)
+    return met[met["b"].notna()]
+
+
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -489,8 +502,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tried, number = pairs, 0
         while True:
             if number < ROUNDS:
-                met = materialise(_grouped(narrow, labels).applyInPandas(lambda f: _nearest(f, p, q), member), "nearest")
-                near, narrow = met.where("b is not null").select("a", "b"), met.drop("b")
+                met = materialise(_grouped(narrow, labels).applyInPandas(lambda f: _reached(f, p, q), member), "nearest")
+                near, narrow = met.select("a", "b"), met.drop("b")
                 near = near if wide is None else near.union(_near_pivots(wide, p, q))
             else:
                 near = _grouped(narrow.withColumns({"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}), labels).applyInPandas(lambda f: _across(f, p, q), f"a {kind}, b {kind}")

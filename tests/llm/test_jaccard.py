@@ -132,3 +132,51 @@ def test_many_unlinked_members_of_large_buckets(spark, monkeypatch, block):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, n=4, percent=85).collect()}
     assert got == brute(docs, 4, 85)
+
+
+def test_members_without_a_candidate_leave_their_bucket(spark, monkeypatch):
+    # buckets of one passage: most tails are too long for any link, a few members are linked in chains
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    rounds, write = [], jaccard.materialise
+
+    def seen(df, label):
+        out = write(df, label)
+        if label in ("large", "nearest"):
+            rounds.append((label, out.count(), out.where("b is null").count() if label == "nearest" else 0))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", seen)
+    passage = [f"p{k}" for k in range(60)]
+    docs = [(i, " ".join(passage + [f"t{i}x{k}" for k in range(30)])) for i in range(80)]
+    docs += [(100 + i, " ".join(passage + [f"u{k}" for k in range(i, 3 * i)])) for i in range(12)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), n=4, percent=85).collect()}
+    assert got == brute(docs, 4, 85) and len({c for _, c in got.values()}) < len(docs)
+    assert rounds[0][0] == "large" and len(rounds) > 1
+    assert all(k == "nearest" and n < rounds[0][1] // 2 and not without for k, n, without in rounds[1:])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_no_plausible_pair_leaves_with_a_member(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (60, 600, 64)]
+    sets = [np.append(base[k % 3][: len(base[k % 3]) - rng.integers(0, 12)], rng.integers(0, 1 << 63, rng.integers(0, 20), dtype=np.uint64)) for k in range(60)]
+    frame = pd.DataFrame({"key": 1, "a": range(60), "whole": rng.random(60) < 0.7, "n": [len(x) for x in sets], "sketch": [jaccard.sketch(x) for x in sets], "c": rng.integers(0, 12, 60)})
+
+    def linked(f):
+        f = f.reset_index(drop=True)
+        return {(f["a"][i], f["a"][j]) for r, c, _ in jaccard._close(f, f, 85, 100) for i, j in zip(r, c, strict=True)} if len(f) else set()
+
+    def true_pairs(f):
+        # links, whatever the sketches say
+        of = {a: set(sets[a].tolist()) for a in f["a"]}
+        rows = list(f[["a", "c", "whole"]].itertuples(index=False))
+        return {(x.a, y.a) for x in rows for y in rows if x.c != y.c and (x.whole or y.whole) and 100 * len(of[x.a] & of[y.a]) >= 85 * len(of[x.a] | of[y.a])}
+
+    left, c = frame.drop(columns="c"), frame["c"]
+    assert true_pairs(frame) and len(jaccard._reached(frame, 85, 100)) < len(frame)
+    for k in (12, 7, 3, 2):  # components merge from round to round
+        c = c % k
+        now = frame.assign(c=c)
+        left = jaccard._reached(left.merge(now[["a", "c"]], on="a"), 85, 100).drop(columns="b")
+        found = linked(left.merge(now[["a", "c"]], on="a"))
+        assert true_pairs(now) <= found <= linked(now)
