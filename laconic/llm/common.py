@@ -38,6 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a file, on average, in tables whose rows are bounded beforehand.
+ROWS_A_FILE = 10_000
+
+
+def files(rows: int, each: int = ROWS_A_FILE) -> int:
+    """Files for a table of that many rows at most.
+
+    Every file is several requests to a store; in a local folder each one has
+    the executor start four processes that set permissions.  So small tables
+    get few, also where Spark doesn't coalesce partitions: by coalesce() after
+    a cheap last stage, by `gathered` after a costly one.
+    """
+    return 1 + rows // each
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of that many rows at most, dealt once more into partitions as its files are to be; the stage before keeps its tasks."""
+    return df.repartition(min(files(rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
@@ -47,7 +67,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/laconic-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

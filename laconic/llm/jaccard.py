@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laconic.llm.common import bloom, materialise, may_hold
+from laconic.llm.common import bloom, files, gathered, materialise, may_hold
 from laconic.llm.components import components
 from laconic.llm.tokens import U64, buffers, mix, pieces, shingle_sets
 
@@ -305,6 +305,8 @@ BLOCK, BLOCK_BYTES = 2048, 32 << 20
 COMPARED = 16 << 20
 #: Tasks of the last pass for each shuffle partition: its groups differ in size.
 TASKS = 2
+#: Texts of a file of candidates, on average.
+TEXTS_A_FILE = 1_000
 
 
 def _close(x: pd.DataFrame, y: pd.DataFrame, p: int, q: int):
@@ -370,9 +372,10 @@ def _exact_set(text: str, n: int) -> frozenset:
 
 def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int, p: int, q: int) -> DataFrame:
     """The pairs (a, b) of document ids whose shingle sets, as words, have Jaccard >= p / q."""
+    many = pairs.count()
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
     near = docs.where(may_hold(docs.sparkSession, bloom(wanted), F.col(doc_id))).select(F.col(doc_id).alias("a"), F.col(text).alias("_a"))
-    texts = materialise(near.join(wanted, "a", "left_semi").dropDuplicates(["a"]), "candidates")
+    texts = materialise(near.join(wanted, "a", "left_semi").dropDuplicates(["a"]).coalesce(files(2 * many, TEXTS_A_FILE)), "candidates")
 
     def run(batches):
         for batch in batches:
@@ -386,7 +389,7 @@ def verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, n: int,
 
     both = pairs.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("_a").alias("_b")), "b").select("a", "b", "_a", "_b")
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return gathered(both.mapInArrow(run, f"a {kind}, b {kind}"), many)
 
 
 def _grouped(rows: DataFrame, labels: DataFrame):
@@ -474,9 +477,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_shingles, component_id) of every row of docs: texts link when 100 * intersection >= percent * union of their n-word shingles."""
     p, q = percent, 100
     base = materialise(set_digests(docs, doc_id, text, n), "sets")
-    total = base.agg(F.sum("n_shingles")).first()[0] or 0
+    total, rows = base.agg(F.sum("n_shingles"), F.count(F.lit(1))).first()
+    total = total or 0
     first = F.min(F.struct("doc_id", "n_shingles", "sketch"))
-    classes = materialise(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(first.alias("f")).select("digest", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.sketch").alias("sketch")), "classes")
+    classes = materialise(base.where("digest is not null and doc_id is not null").groupBy("digest").agg(first.alias("f")).select("digest", F.col("f.doc_id").alias("rep"), F.col("f.n_shingles").alias("n"), F.col("f.sketch").alias("sketch")).coalesce(files(rows)), "classes")
     parts = 12 + total // 3 // KEYS_A_TASK
     small, block = SMALL, BLOCK
     found = materialise(_packed(docs, text, n, p, q, parts).repartition(parts, "part").groupBy("part").applyInPandas(lambda f: _buckets(f, p, q, small, block), CANDIDATE), "buckets")
@@ -487,28 +491,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def ordered(df: DataFrame) -> DataFrame:
         return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
+    found_pairs, members = found.agg(F.count(F.when(F.col("key").isNull(), 1)), F.count("key")).first()
     pairs = found.where("key is null").select("a", "b").distinct().join(known("a"), "a").join(known("b"), "b")
-    pairs = materialise(ordered(plausible(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb"), p, q)), "pairs")
+    pairs = materialise(ordered(plausible(pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"), "na", "nb", "sa", "sb"), p, q)).coalesce(files(found_pairs)), "pairs")
     links = materialise(verified(pairs, docs, doc_id, text, n, p, q), "links")
     labels = components(links)
     large = found.where("key is not null")
-    if not large.isEmpty():
-        rows = large.select("key", "a", "whole", "fits").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"), "fits")
-        rows = materialise(rows, "large")
-        narrow, wide = (rows.where(F.col("fits") == fits).drop("fits") for fits in (True, False))
+    if members:
+        large = large.select("key", "a", "whole", "fits").join(known("a"), "a").select("key", F.col("ra").alias("a"), "whole", F.col("na").alias("n"), F.col("sa").alias("sketch"), "fits")
+        large = materialise(large.coalesce(files(members)), "large")
+        narrow, wide = (large.where(F.col("fits") == fits).drop("fits") for fits in (True, False))
         wide = None if wide.isEmpty() else _mixed(wide, labels)
-        kind = rows.schema["a"].dataType.simpleString()
+        kind = large.schema["a"].dataType.simpleString()
         member = f"key long, a {kind}, whole boolean, n long, sketch binary, b {kind}"
         tried, number = pairs, 0
         while True:
             if number < ROUNDS:
-                met = materialise(_grouped(narrow, labels).applyInPandas(lambda f: _reached(f, p, q), member), "nearest")
+                met = materialise(gathered(_grouped(narrow, labels).applyInPandas(lambda f: _reached(f, p, q), member), members), "nearest")
                 near, narrow = met.select("a", "b"), met.drop("b")
                 near = near if wide is None else near.union(_near_pivots(wide, p, q))
             else:
                 near = _grouped(narrow.withColumns({"block": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)}), labels).applyInPandas(lambda f: _across(f, p, q), f"a {kind}, b {kind}")
                 near = near if wide is None else near.union(_between(wide, p, q))
-            rest = materialise(ordered(near).join(tried, ["a", "b"], "left_anti"), "rest")
+            rest = ordered(near).join(tried, ["a", "b"], "left_anti")
+            rest = materialise(rest.coalesce(files(2 * members)) if number < ROUNDS else rest, "rest")
             fresh = None if rest.isEmpty() else materialise(verified(rest, docs, doc_id, text, n, p, q), "links")
             linked = fresh is not None and not fresh.isEmpty()
             if linked:
@@ -521,7 +527,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             # a round that links nothing: the members left are apart, or few
             tried, number = tried.union(rest), number + 1 if linked else ROUNDS
     # as a table of its own, so that Spark can split a digest that very many rows share
-    named = materialise(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "named")
+    named = materialise(classes.select("digest", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")).coalesce(files(rows)), "named")
     return base.drop("sketch").join(named, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

@@ -1,11 +1,13 @@
 import random
 import re
+from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from laconic.llm import jaccard
+from laconic.llm import common, jaccard
 
 
 def shingles(text, n):
@@ -155,6 +157,28 @@ def test_members_without_a_candidate_leave_their_bucket(spark, monkeypatch):
     assert all(k == "nearest" and n < rounds[0][1] // 2 and not without for k, n, without in rounds[1:])
 
 
+def test_small_tables_are_few_files(spark, monkeypatch):
+    # every file starts processes on an executor, so tasks without much to write must not each write one
+    monkeypatch.setattr(jaccard, "SMALL", 3)
+    rng = random.Random(5)
+    docs = [(100 * g + i, " ".join([f"p{g}x{k}" for k in range(60)] + [f"t{g}x{i // 2}x{k}" for k in range(rng.choice([6, 8, 10, 12]))])) for g in range(12) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    merges, before = "spark.sql.adaptive.coalescePartitions.enabled", len(common._WRITTEN.get(spark.sparkContext.applicationId, []))
+    spark.conf.set(merges, "false")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, n=4, percent=85).collect()}
+    finally:
+        spark.conf.unset(merges)
+    assert got == brute(docs, 4, 85)
+    found = defaultdict(list)
+    for path in common._WRITTEN[spark.sparkContext.applicationId][before:]:
+        path = Path(path.removeprefix("file:"))
+        found[path.name.split("-")[1]].append(len(list(path.glob("part-*.parquet"))))
+        assert not (path / "_SUCCESS").exists()
+    small = ("classes", "pairs", "candidates", "links", "edges", "hooks", "labels", "large", "nearest", "named")
+    assert {k: max(found[k]) for k in small} == dict.fromkeys(small, 1)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_no_plausible_pair_leaves_with_a_member(seed):
     rng = np.random.default_rng(seed)
