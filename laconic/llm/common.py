@@ -46,7 +46,7 @@ def files(rows: int, each: int = ROWS_A_FILE) -> int:
     """Files for a table of that many rows at most.
 
     Every file is several requests to a store; in a local folder each one has
-    the executor start four processes that set permissions.  So small tables
+    the executor start three processes that set permissions.  So small tables
     get few, also where Spark doesn't coalesce partitions: by coalesce() after
     a cheap last stage, by `gathered` after a costly one.
     """
